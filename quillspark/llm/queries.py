@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat_format, packing, resharding
+from . import ball_tree, chat_format, decontaminate, packing, resharding
 from .common import doc_remainder, table, written
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lengths = written(docs.select("doc_id", packing.word_length(F.col("text")).alias("n_tokens")), "op5-lengths")
@@ -36,7 +40,7 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_ball_tree, op8_chat_format, op10_resharding)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_packing, op6_ball_tree, op8_chat_format, op10_resharding)}
 
 ORACLES: dict[str, str] = {
     "op6_ball_tree": """
@@ -62,5 +66,5 @@ ORACLES: dict[str, str] = {
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(n_text + CASE WHEN before = role THEN 11 ELSE 12 + n_role + 1 + 11 END) AS BIGINT) AS formatted_chars
-        FROM p GROUP BY conv_id""".replace("\\\\", "\\"),
+        FROM p GROUP BY conv_id""",
 }
