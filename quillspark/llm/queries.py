@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat_format, decontaminate, ngram_join, packing, resharding
+from . import ball_tree, chat_format, decontaminate, ngram_join, packing, quality, resharding, toxicity
 from .common import doc_remainder, table, written
 
 
@@ -13,6 +13,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, left_out = table(spark, sf_dir, "documents"), doc_remainder(F.col("doc_id"), 4) == 2
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~left_out)
+    return quality.score(docs, model).select("doc_id", left_out.alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lengths = written(docs.select("doc_id", packing.word_length(F.col("text")).alias("n_tokens")), "op5-lengths")
@@ -38,13 +44,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OLD_SHARDS, SHARDS = 6, 8
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, left_out = table(spark, sf_dir, "documents"), doc_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~left_out)
+    return toxicity.score(docs, model).select("doc_id", left_out.alias("held_out"), "score", "predicted")
+
+
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resharding.sized(table(spark, sf_dir, "documents")).withColumn("old_shard", doc_remainder(F.col("doc_id"), OLD_SHARDS).cast("int"))
     placed = resharding.reshard(written(rows, "op10-sizes"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_packing, op6_ball_tree, op7_ngram_join, op8_chat_format, op10_resharding)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_quality, op5_packing, op6_ball_tree, op7_ngram_join, op8_chat_format, op9_toxicity, op10_resharding)}
 
 ORACLES: dict[str, str] = {
     "op6_ball_tree": """
