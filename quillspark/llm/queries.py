@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat_format, decontaminate, ngram_join, packing, quality, resharding, toxicity
+from . import ball_tree, chat_format, decontaminate, lm, ngram_join, packing, quality, resharding, toxicity
 from .common import doc_remainder, table, written
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"), doc_remainder(F.col("doc_id"), 5) == 1)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_quality, op5_packing, op6_ball_tree, op7_ngram_join, op8_chat_format, op9_toxicity, op10_resharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op4_quality, op5_packing, op6_ball_tree, op7_ngram_join, op8_chat_format, op9_toxicity, op10_resharding)}
 
 ORACLES: dict[str, str] = {
     "op6_ball_tree": """
