@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more; it waits for the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def doc_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, mod n. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, slots
+from .common import WORD_PATTERN, slots, written
 
 TOKEN_BUDGET, BUCKETS, BLOCKS, EXACT_TO = 65_536, 16, 1024, 32_768
 
@@ -78,6 +78,7 @@ def pack(docs: DataFrame, n_tokens: Column | None = None, token_budget: int = TO
     """``doc_id, n_tokens, bucket, bucket_len, batch_id, place, padding``, a row for each document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), (n_tokens if n_tokens is not None else word_length(F.col("text"))).cast("long").alias("n_tokens"))
+    rows = written(rows, "pack-lengths")  # read three times
     n = F.col("n_tokens")
     step = F.pow(F.lit(2), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 8, F.lit(0))).cast("long")
     bin_ = F.when(n <= exact_to, n).otherwise(F.ceil(n / step).cast("long") * step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat_format, decontaminate, lm, ngram_join, packing, quality, resharding, toxicity
+from . import ball_tree, chat_format, decontaminate, lm, ngram_join, packing, quality, resharding, token_counts, toxicity
 from .common import doc_remainder, table, written
 
 
@@ -17,6 +17,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = written(token_counts.token_files(table(spark, sf_dir, "documents"), token_counts.bpe_encoder(spark)), "token-files")
+    return token_counts.named(token_counts.scan(files), files)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, left_out = table(spark, sf_dir, "documents"), doc_remainder(F.col("doc_id"), 4) == 2
     model = quality.learn(docs, table(spark, sf_dir, "labels"), ~left_out)
@@ -24,9 +29,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    lengths = written(docs.select("doc_id", packing.word_length(F.col("text")).alias("n_tokens")), "op5-lengths")
-    return packing.pack(lengths, F.col("n_tokens"))
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op6_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +63,7 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op4_quality, op5_packing, op6_ball_tree, op7_ngram_join, op8_chat_format, op9_toxicity, op10_resharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_token_counts, op4_quality, op5_packing, op6_ball_tree, op7_ngram_join, op8_chat_format, op9_toxicity, op10_resharding)}
 
 ORACLES: dict[str, str] = {
     "op6_ball_tree": """
