@@ -22,16 +22,17 @@ from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
 
-SAMPLE_ROWS, FEATURES, CELL_BITS, ORDERS, SMOOTH, PENALTY, STEPS, THRESHOLD = 30_000, 8192, 20, (3, 4, 5), 1.0, 2.0, 300, 0.5
+SAMPLE_ROWS, FEATURES, CELL_BITS, ORDERS, SMOOTH, PENALTY, STEPS, THRESHOLD = 20_000, 2048, 20, (3, 4, 5), 1.0, 2.0, 300, 0.5
 BLOCK_CHARS = 1 << 18
 _TO_SPACE = np.arange(128, dtype=np.uint32)
 _TO_SPACE[[c for c in range(128) if not chr(c).isalnum()]] = 32
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_LAST = np.uint64(0x94D049BB133111EB)
 _SHIFT = np.uint64(64 - CELL_BITS)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row of each character, character) of texts in blocks; a long text comes in parts that overlap by the longest n-gram."""
+def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each part, its end, characters) of texts in blocks; a long text comes in parts that overlap by the longest n-gram."""
     rows, parts, held = [], [], 0
     for i, t in enumerate(texts):
         t = f" {(t or '').lower()} "
@@ -47,34 +48,46 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _codes(rows, parts)
 
 
-def _codes(rows, parts) -> tuple[np.ndarray, np.ndarray]:
+def _codes(rows, parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     c = np.where(c < 128, _TO_SPACE[np.minimum(c, 127)], c)
     i, n = np.array(rows).T
-    edge = np.cumsum(n)  # n-grams must not run from one part into the next
-    return np.stack([i, edge]), c
+    return i, np.cumsum(n), c.astype(np.uint64)
+
+
+def _grams(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, cell of the n-gram that begins at each character) for each order; longer ones go on from shorter ones."""
+    h = np.zeros(len(c), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        m = len(c) - n + 1
+        if m <= 0:
+            return
+        h = (h[:m] + c[n - 1 :]) * _MULTIPLY[n - 1]
+        h ^= h >> np.uint64(29)
+        if n in ORDERS:
+            yield n, ((h * _LAST) >> _SHIFT).astype(np.int32)
 
 
 def cells(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (row, cell) of texts; of all cells or those that ``wanted`` flags."""
     out = [np.zeros(0, np.int64)]
-    for (row, edge), c in _blocks(texts):
-        wide = c.astype(np.uint64)
-        for n in ORDERS:
-            m = len(c) - n + 1
-            if m <= 0:
-                continue
-            h = np.full(m, n, np.uint64)
-            for k in range(n):
-                h += wide[k : k + m]
-                h *= _MULTIPLY[k]
-                h ^= h >> np.uint64(29)
-            cell = (h >> _SHIFT).astype(np.int64)
-            at = np.flatnonzero(wanted[cell]) if wanted is not None else np.arange(m)
-            part = np.searchsorted(edge, at, "right")
-            inside = at + n <= edge[part]
-            out.append(np.unique(row[part[inside]] << CELL_BITS | cell[at[inside]]))
-    key = np.unique(np.concatenate(out))
+    for row, edge, c in _blocks(texts):
+        if wanted is not None:
+            for n, cell in _grams(c):
+                at = np.flatnonzero(wanted[cell])
+                part = np.searchsorted(edge, at, "right")
+                inside = at + n <= edge[part]  # n-grams must not run from one part into the next
+                out.append(row[part[inside]].astype(np.int64) << CELL_BITS | cell[at[inside]])
+            continue
+        grams = list(_grams(c))
+        for i, lo, hi in zip(row.tolist(), np.concatenate([[0], edge[:-1]]).tolist(), edge.tolist(), strict=True):
+            own = np.sort(np.concatenate([cell[lo : max(lo, hi - n + 1)] for n, cell in grams] or [np.zeros(0, np.int32)]))
+            first = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=first[1:])
+            out.append(i << CELL_BITS | own[first].astype(np.int64))
+    key = np.concatenate(out)
+    if wanted is not None or (key[1:] <= key[:-1]).any():
+        key = np.unique(key)
     return key >> CELL_BITS, key & ((1 << CELL_BITS) - 1)
 
 
@@ -158,8 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     rows = sample.mapInArrow(find, "y int, cells binary").toPandas().sort_values(["cells", "y"], kind="stable")
     y = rows["y"].to_numpy(np.float64)
     held = [np.frombuffer(x, np.int32) for x in rows["cells"]]
-    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    feature = np.searchsorted(chosen, np.concatenate(held)) if held else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+    feature = np.searchsorted(chosen, np.concatenate(held)).astype(np.int32) if held else np.zeros(0, np.int64)
     p, q = top["toxic"].to_numpy(np.float64) + SMOOTH, top["clean"].to_numpy(np.float64) + SMOOTH
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     w, b = _fit(row, feature, y, ratio, PENALTY, STEPS)
