@@ -15,6 +15,11 @@ def words_of(text: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
+def tagged(a: Column, kind: str, as_: tuple[str, str] = ("kind", "value")) -> Column:
+    """Each item of an array beside a constant."""
+    return F.transform(a, lambda v: F.struct(F.lit(kind).alias(as_[0]), v.alias(as_[1])))
+
+
 def non_blank(a: Column) -> Column:
     return F.filter(a, lambda x: F.trim(x) != "")
 
@@ -81,7 +86,7 @@ def split_terms(query: str | None) -> list[str]:
 
 
 def split_terms_column(c: Column) -> Column:
-    return non_blank(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,|\n]+"), F.trim))
+    return non_blank(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,|\n]+"), lambda x: F.trim(x)))
 
 
 def _valid(pattern: str) -> bool:
@@ -146,14 +151,14 @@ def tokenize_urls(c: Column) -> Column:
 
 def tokenize_hashtags(c: Column, strict: bool = True) -> Column:
     """Hashtags in lower case. Unless ``strict``, a list of at most 30 bare tags counts too, all or nothing."""
-    found = F.transform(words_of(c, r"(?U)#[\wÀ-￿]+"), lambda x: F.substring(F.lower(x), F.lit(2), F.length(x)))
+    found = F.transform(words_of(c, r"(?U)#[\wÀ-￿]+"), F.lower)
     if strict:
         return found
-    bare = non_blank(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;\n]+"), F.trim))
+    bare = non_blank(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;\n]+"), lambda x: F.regexp_replace(F.trim(x), "^#+", "")))
     fits = (F.size(bare) > 0) & (F.size(bare) <= 30) & F.forall(bare, lambda x: x.rlike(r"(?U)^\w{2,30}$"))
     none = F.array().cast("array<string>")
-    blank = F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "nan", "none", "null")
-    return F.when(blank, none).when(F.size(found) > 0, found).when(fits, F.transform(bare, F.lower)).otherwise(none)
+    blank = F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "nan", "none", "null", "[]")
+    return F.when(blank, none).when(F.size(found) > 0, found).when(fits, F.transform(bare, lambda x: F.concat(F.lit("#"), F.lower(x)))).otherwise(none)
 
 
 def slug(c: Column, most: int = 80) -> Column:
