@@ -7,9 +7,9 @@ is found from all documents, and only the work depends on it, never the result.
 
 A tile holds the nodes with one key. First each node meets its tiles' least nodes; the links that hold already join most
 near copies. Tiles whose nodes then still belong to different classes are compared pair by pair across classes, in
-size bands (the smaller set must reach t of the larger): 512-bit parity signatures bound the overlap from above
-(every bit that differs is a shingle that only one set has), and pairs that pass are verified by exact intersection
-of the sorted arrays. Pairs inside a class need no comparison, so large groups of near copies cost no pairs.
+size bands (the smaller set must reach t of the larger): parity signatures bound the overlap from above (every bit that
+differs is a shingle that only one set has), first 512 bits of each, then a number of bits that follows the set's
+size; pairs that pass are verified by exact intersection of the sorted arrays. Pairs inside a class need no comparison, so large groups of near copies cost no pairs.
 
 Defined cases: null or empty texts have the empty set and link with nothing; fewer words than a shingle make one shingle;
 repeated rows each get a row; rows that share a doc_id but not the text are nodes of their own; extra columns
@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spans, utf8, written
+from .common import discard, release, spans, utf8, written
 from .components import components
 from .words import mixed, shingles, word_hashes
 
@@ -77,27 +77,40 @@ def _key(s: np.ndarray) -> bytes:
     return np.array([mixed(s).sum(dtype=np.uint64), mixed(s ^ _OTHER).sum(dtype=np.uint64) + np.uint64(len(s))]).tobytes()
 
 
+def _wide(s: np.ndarray) -> np.ndarray:
+    """The parity signature of a set, four to sixteen bits for every eight shingles; halves of it folded together are the next smaller one."""
+    bits = BITS
+    while 2 * bits < len(s):
+        bits *= 4
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
+
+
+def _folded(sign: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sign.reshape(-1, size), axis=0)
+
+
 def _described(words: int, num: int, den: int, late):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = late.value
         for batch in batches:
-            n, keys, signs, prefixes = [], [], [], []
+            n, keys, signs, wides, prefixes = [], [], [], [], []
             for s in _sets(batch.column("text"), words):
                 n.append(len(s))
                 keys.append(_key(s))
-                bits = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                signs.append(np.packbits(bits.astype(bool)).view(np.int64))
+                wide = _wide(s)
+                wides.append(wide.tobytes())
+                signs.append(_folded(wide, BITS // 8).view(np.int64))
                 take = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 often = cells[(s >> _CELL).astype(np.int64)]
                 rare = s[~often]
                 prefixes.append((rare[:take] if len(rare) >= take else np.concatenate([rare, s[often][: take - len(rare)]])).view(np.int64))
             lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists(signs), lists(prefixes)], names=["doc_id", "n", "key", "sign", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists(signs), pa.array(wides, pa.binary()), lists(prefixes)], names=["doc_id", "n", "key", "sign", "wide", "prefix"])
 
     return run
 
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
 
 def frequent_cells(docs: DataFrame, words: int) -> np.ndarray:
@@ -138,6 +151,24 @@ def _arrays(words: int, bloom):
     return run
 
 
+def _possible(num: int, den: int):
+    """Of pairs with both signatures, those that can reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("wa"), batch.column("wb"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+                top = (int(na[i]) + int(nb[i]) - apart) // 2
+                ok[i] = den * top >= num * (int(na[i]) + int(nb[i]) - top)
+            yield batch.select(["a", "b", "ka", "kb", "da", "db"]).filter(pa.array(ok))
+
+    return run
+
+
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,33 +251,37 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     late = spark.sparkContext.broadcast(frequent_cells(docs, words))
     sets = written(docs.mapInArrow(_described(words, num, den, late), SETS), "sets")
-    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
-    nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    first = [F.first(c).alias(c) for c in ("n", "sign", "wide", "prefix")]
+    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *first)
+    keyed_nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = written(keyed_nodes.drop("prefix"), "node-info")
+    rows = written(sets.select("doc_id", "n", "key"), "rows")
+    discard(sets)
 
     # nodes that share a key, and beside each the tile's least node
     by_key = W.partitionBy("shingle")
-    keyed = nodes.select(F.explode("prefix").alias("shingle"), "node", "n").withColumn("count", F.count("*").over(by_key)).where("count > 1")
+    keyed = keyed_nodes.select(F.explode("prefix").alias("shingle"), "node", "n").withColumn("count", F.count("*").over(by_key)).where("count > 1")
     keyed = written(keyed.withColumn("least", F.min(F.struct("node", "n")).over(by_key)), "keyed")
+    discard(keyed_nodes)
     size_fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
     stars = keyed.where((F.col("node") != F.col("least.node")) & size_fits(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
 
     def hold(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs that reach the similarity, by signatures and then by the arrays."""
-        side = lambda p: nodes.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), F.col("sign").alias(f"s{p}"), F.col("key").alias(f"k{p}"), F.col("doc_id").alias(f"d{p}"))
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        top = F.floor((F.col("na") + F.col("nb") - F.col("apart")) / 2)
-        left = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", apart).where(F.lit(den) * top >= F.lit(num) * (F.col("na") + F.col("nb") - top))
-        left = written(left.select("a", "b", "ka", "kb", "da", "db"), label)
+        side = lambda p: nodes.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"w{p}"), F.col("key").alias(f"k{p}"), F.col("doc_id").alias(f"d{p}"))
+        told = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "kb", "da", "db", "na", "nb", "wa", "wb")
+        left = written(told.mapInArrow(_possible(num, den), "a long, b long, ka binary, kb binary, da long, db long"), label)
         ids = left.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct()
         bloom = _bloom(spark, ids)
         place = lambda i, f: _bloom_places(F.col("doc_id"))[i][f]
         asked = docs.select("text", *(place(i, f).alias(f"{f[0]}{i}") for i in (0, 1) for f in ("word", "bit")))
         arrays = written(asked.mapInArrow(_arrays(words, bloom), "key binary, items binary"), f"{label}-arrays")
-        keys = left.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
-        arrays = arrays.join(keys, "key").groupBy("key").agg(F.first("items").alias("items"))
         one = left.join(arrays.select(F.col("key").alias("ka"), F.col("items").alias("x")), "ka")
         two = one.join(arrays.select(F.col("key").alias("kb"), F.col("items").alias("y")), "kb")
-        return written(two.select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long"), f"{label}-links")
+        out = written(two.select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long").distinct(), f"{label}-links")
+        discard(arrays)
+        release(spark)
+        return out
 
     links = hold(stars, "stars")
     joined = components(links)
@@ -269,5 +304,20 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     labelled = nodes.select("node", "key", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = labelled.join(least, "component").select("key", "component_id")
-    out = sets.select("doc_id", "n", "key").join(by_class, "key", "left")
+    out = rows.join(by_class, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows, as they are, of one document of each class: that with the smallest doc_id.
+
+    Documents without words stay. Rows that repeat both a doc_id and its text are copies too, and one of them stays.
+    """
+    classes = written(jaccard_classes(docs, words, num, den), "classes")
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = written(classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
