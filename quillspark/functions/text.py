@@ -76,9 +76,12 @@ def tokens(c: Column, stop: list[str] | None = None) -> Column:
 
 
 def ngrams(toks: Column, n: int, sep: str = "_") -> Column:
-    """Runs of n tokens; empty where there are fewer (``sequence`` would count down there)."""
-    whole = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), sep))
-    return F.when(F.size(toks) >= n, whole).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens; empty where there are fewer. Shifted copies are zipped, so the tokens aren't made anew for each run."""
+    many = F.greatest(F.size(toks) - (n - 1), F.lit(0))
+    out = F.slice(toks, F.lit(1), many)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(toks, F.lit(k), many), lambda a, b: F.concat(a, F.lit(sep), b))
+    return out
 
 
 def split_terms(query: str | None) -> list[str]:
