@@ -85,6 +85,25 @@ def spans(offsets: np.ndarray, most: int):
         first = end
 
 
+def most_frequent(counts: DataFrame, most: int, least: int = 1, n: str = "n") -> DataFrame:
+    """The rows of ``counts`` from a count on that at most ``most`` rows reach.
+
+    The count comes from a histogram (exact up to 4096, by sixteenths of powers of two above), so that no task
+    or driver sorts more than the answer.
+    """
+    c = F.col(n)
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(c.cast("double"))) - 4, F.lit(0)))
+    low = F.when(c <= 4096, c).otherwise((F.floor(c / step) * step).cast("long"))
+    bins = counts.where(c >= least).groupBy(low.alias("low")).agg(F.count("*").alias("k")).orderBy(F.desc("low")).collect()
+    first, seen = None, 0
+    for r in bins:
+        seen += r["k"]
+        if seen > most:
+            break
+        first = r["low"]
+    return counts.where(c >= first) if first is not None else counts.limit(0)
+
+
 def slots(df: DataFrame, group: str, order: list[Column], key: Column, blocks: int, name: str = "slot") -> DataFrame:
     """Number the rows of each group from 0 without gaps, and without one task per group.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans, utf8, written
+from .common import most_frequent, spans, utf8, written
 from .words import word_hashes
 
 #: Network: words, classes, state. Known: words whose counts go to all executors; the rest are joined.
@@ -313,7 +313,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 def known_words(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, known: int = KNOWN) -> Words:
     """The most frequent words; bounded by ``known``."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(known).toPandas()
+    top = most_frequent(counts, known).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
     h, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     in_net = min(vocabulary, len(h))
     rank = np.arange(len(h))
