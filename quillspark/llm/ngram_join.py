@@ -6,10 +6,12 @@ those prefixes are the keys of the tiles. The order puts shingles that many docu
 is found from all documents, and only the work depends on it, never the result.
 
 A tile holds the nodes with one key. First each node meets its tiles' least nodes; the links that hold already join most
-near copies. Tiles whose nodes then still belong to different classes are compared pair by pair across classes, in
+near copies. Tiles whose nodes then still belong to different classes are compared across classes, in
 size bands (the smaller set must reach t of the larger): parity signatures bound the overlap from above (every bit that
 differs is a shingle that only one set has), first 512 bits of each, then a number of bits that follows the set's
-size; pairs that pass are verified by exact intersection of the sorted arrays. Pairs inside a class need no comparison, so large groups of near copies cost no pairs.
+size; pairs that pass are verified by exact intersection of the sorted arrays. The first time each node passes on only its nearest partner (by signatures) of a tile, which joins
+what is left of near copies; the second time all pairs that are still across classes. Pairs inside a class need no
+comparison, so large groups of near copies cost few pairs.
 
 Defined cases: null or empty texts have the empty set and link with nothing; fewer words than a shingle make one shingle;
 repeated rows each get a row; rows that share a doc_id but not the text are nodes of their own; extra columns
@@ -27,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, release, spans, utf8, written
+from .common import discard, most_frequent, release, spans, utf8, written
 from .components import components
 from .words import mixed, shingles, word_hashes
 
@@ -116,7 +118,8 @@ SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T
 def frequent_cells(docs: DataFrame, words: int) -> np.ndarray:
     """Cells (by the upper bits of a shingle) that hold a frequent shingle. Bounded: 2**CELL_BITS flags."""
     counts = docs.select("text").mapInArrow(_frequent(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
+    counts = written(counts.where(F.col("n") >= OFTEN), "frequent")
+    top = most_frequent(counts, MOST_FREQUENT, OFTEN).toPandas()
     cells = np.zeros(1 << CELL_BITS, bool)
     cells[(top["shingle"].to_numpy(np.int64).view(np.uint64) >> _CELL).astype(np.int64)] = True
     return cells
@@ -184,7 +187,16 @@ def _verified(num: int, den: int):
     return run
 
 
-def _tiles(num: int, den: int):
+def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of each row its nearest partner."""
+    x, y, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
+    order = np.lexsort((y, d, x))
+    first = np.ones(len(order), bool)
+    first[1:] = x[order][1:] != x[order][:-1]
+    return order[first] % len(a)
+
+
+def _tiles(num: int, den: int, nearest: bool):
     """Rows come sorted by tile, then class, then size; pairs across classes that the bounds can't exclude go out."""
 
     def pairs(tile, node, n, kind, side, sign) -> pa.RecordBatch:
@@ -206,7 +218,9 @@ def _tiles(num: int, den: int):
                 a, b = a[ok], b[ok]
                 apart = np.bitwise_count(sign[a] ^ sign[b]).sum(1, dtype=np.int64)
                 top = (n[a] + n[b] - apart) // 2
-                ok = den * top >= num * (n[a] + n[b] - top)
+                ok = np.flatnonzero(den * top >= num * (n[a] + n[b] - top))
+                if nearest and len(ok):
+                    ok = ok[_nearest(a[ok], b[ok], apart[ok])]
                 out.append(np.stack([node[a[ok]], node[b[ok]]]))
         both = np.concatenate(out, axis=1)
         both = np.unique(np.sort(both, axis=0), axis=1) if both.shape[1] else both
@@ -242,14 +256,16 @@ def _tiles(num: int, den: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, tables: list[DataFrame] | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: sets link where den * |both| >= num * |either|.
 
-    ``component_id`` is the smallest doc_id that links reach, the document's own included.
+    ``component_id`` is the smallest doc_id that links reach, the document's own included. ``tables`` gets the
+    written tables that the result still reads, for the caller to discard.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     late = spark.sparkContext.broadcast(frequent_cells(docs, words))
+    release(spark)
     sets = written(docs.mapInArrow(_described(words, num, den, late), SETS), "sets")
     first = [F.first(c).alias(c) for c in ("n", "sign", "wide", "prefix")]
     classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *first)
@@ -284,23 +300,27 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         return out
 
     links = hold(stars, "stars")
-    joined = components(links)
-
-    # tiles whose nodes are still of different classes
-    told = keyed.select("shingle", "node", "n", "count").join(joined, "node", "left").select("shingle", "node", "n", "count", F.coalesce("component", "node").alias("class"))
-    mixed_ = told.withColumn("lo", F.min("class").over(by_key)).withColumn("hi", F.max("class").over(by_key)).where("lo <> hi")
-    parts = F.ceil(F.col("count") / TILE_ROWS).cast("int")
-    mixed_ = mixed_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    mixed_ = mixed_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("part", "with"), F.greatest("part", "with")
-    # side: 0 where both parts are one; else -1 or 1, and only pairs of the two sides count
-    mixed_ = mixed_.withColumn("tile", lo * F.col("parts") + hi).withColumn("side", F.when(F.col("part") == F.col("with"), 0).when(F.col("part") < F.col("with"), 1).otherwise(-1))
-    signed = mixed_.join(nodes.select("node", "sign"), "node").select("shingle", "tile", "class", "n", "node", F.col("side").cast("int").alias("side"), "sign")
-    signed = signed.repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "class", "n")
-    crossing = signed.mapInArrow(_tiles(num, den), "a long, b long").distinct()
-    more = hold(crossing, "crossing")
-    final = components(links.unionByName(more))
-
+    final = components(links)
+    for nearest in (True, False):
+        # tiles whose nodes are still of different classes
+        told = keyed.select("shingle", "node", "n", "count").join(final, "node", "left").select("shingle", "node", "n", "count", F.coalesce("component", "node").alias("class"))
+        mixed_ = told.withColumn("lo", F.min("class").over(by_key)).withColumn("hi", F.max("class").over(by_key)).where("lo <> hi")
+        parts = F.ceil(F.col("count") / TILE_ROWS).cast("int")
+        mixed_ = mixed_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        mixed_ = mixed_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        lo, hi = F.least("part", "with"), F.greatest("part", "with")
+        # side: 0 where both parts are one; else -1 or 1, and only pairs of the two sides count
+        mixed_ = mixed_.withColumn("tile", lo * F.col("parts") + hi).withColumn("side", F.when(F.col("part") == F.col("with"), 0).when(F.col("part") < F.col("with"), 1).otherwise(-1))
+        signed = mixed_.join(nodes.select("node", "sign"), "node").select("shingle", "tile", "class", "n", "node", F.col("side").cast("int").alias("side"), "sign")
+        signed = signed.repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "class", "n")
+        crossing = signed.mapInArrow(_tiles(num, den, nearest), "a long, b long").distinct()
+        links = links.unionByName(hold(crossing, "nearest" if nearest else "crossing"))
+        final = components(links)
+
+    discard(keyed)
+    release(spark)
+    if tables is not None:
+        tables += [nodes, rows, final]
     labelled = nodes.select("node", "key", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = labelled.join(least, "component").select("key", "component_id")
@@ -313,7 +333,11 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
 
     Documents without words stay. Rows that repeat both a doc_id and its text are copies too, and one of them stays.
     """
-    classes = written(jaccard_classes(docs, words, num, den), "classes")
+    tables: list[DataFrame] = []
+    classes = written(jaccard_classes(docs, words, num, den, tables), "classes")
+    for t in tables:
+        discard(t)
+    release(docs.sparkSession)
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = written(classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
