@@ -27,7 +27,8 @@ def flatten_legs(pages: DataFrame, direction: str = "direction", wallet: str = "
     t = pages.withColumnRenamed("transfer", "t").withColumn("_from", _sides("fromAddresses", "fromAddress")).withColumn("_to", _sides("toAddresses", "toAddress"))
     d = F.col(direction)
     t = t.withColumn("_from", F.when(d == "out", F.slice("_from", 1, 1)).otherwise(F.col("_from"))).withColumn("_to", F.when(d == "in", F.slice("_to", 1, 1)).otherwise(F.col("_to")))
-    t = t.withColumn("f", F.explode("_from")).withColumn("to", F.explode("_to"))
+    legs = F.flatten(F.transform("_from", lambda f: F.transform("_to", lambda to: F.struct(f.alias("f"), to.alias("to")))))
+    t = t.withColumn("leg", F.explode(legs)).withColumn("f", F.col("leg.f")).withColumn("to", F.col("leg.to"))
     core = [
         F.coalesce("t.hash", "t.transactionHash").alias("tx_hash"), F.col("t.token.symbol").alias("token_symbol"), F.col("t.token.address").alias("token_address"), F.coalesce("t.value", "t.amount").alias("amount"),
         F.coalesce("t.valueUsd", "t.amountUsd").alias("amount_usd"), F.col("t.chain").alias("chain"), F.col("t.timestamp").alias("timestamp"), d.alias("direction_reported"), F.col(wallet).alias("base_wallet"),
