@@ -7,7 +7,8 @@ the order of their upper bounds. A tile (block x shard) is the unit of work, so
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; ties go to the smaller id;
 rows that repeat an id are candidates of their own (and none of them is a candidate of a query with that id);
-vectors of another dimension than a query's never match it; an empty table gives an empty table.
+vectors of another dimension than a query's never match it; a score beyond 64 bits is given as the nearest
+64-bit number; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 2048, 256
+NONE = -(2**63)
 
 
 def packed(a: np.ndarray) -> tuple[bytes, str]:
@@ -122,7 +124,7 @@ def _plain(queries, query_ids, floor, ids, vectors, k):
         best = sorted((-int(x), int(j)) for x, j in zip(s, ids, strict=True) if j != query_ids[i])[:k]
         for x, j in best:
             if -x >= floor[i]:
-                rows.append(i), out_ids.append(j), scores.append(-x)
+                rows.append(i), out_ids.append(j), scores.append(max(NONE + 1, min(2**63 - 1, -x)))
     return np.array(rows, np.int64), np.array(out_ids, np.int64), np.array(scores, np.int64)
 
 
@@ -148,9 +150,6 @@ def _tile(r, k: int, floor: np.ndarray):
     return q_ids, *search(q, q_ids, floor, np.frombuffer(r.ids, np.int64), v, tree, k)
 
 
-NONE = -(2**63)
-
-
 def _home(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

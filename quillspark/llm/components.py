@@ -15,7 +15,7 @@ def _with_least(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
-    """``node, component``: every node of an edge and the least node it reaches."""
+    """``node, component``: the least node that a node reaches; a component's least node has no row."""
     u, v = F.col(a).alias("u"), F.col(b).alias("v")
     now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     mark = None
