@@ -20,7 +20,7 @@ class _Broken(ValueError):
 
 def looks_boolean(expression: str) -> bool:
     upper = expression.upper()
-    return any(k in upper for k in (" AND ", " OR ", " NOT ", "(", ")")) or '"' in expression or bool(re.search(r"\w\*", expression))
+    return any(k in f" {upper}" for k in (" AND ", " OR ", " NOT ", "(", ")")) or '"' in expression or bool(re.search(r"\w\*", expression))
 
 
 def _lexed(expression: str) -> list[tuple[str, str]]:

@@ -5,15 +5,14 @@ Input: ``row_index``, ``embedding`` (L2-normalised here), optionally ``different
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 MAX_DOCS, TILE = 500_000, 4096
 
 
@@ -45,17 +44,9 @@ def hashed_vectors(df: DataFrame, row_index: str, text: str, dims: int = 256, n:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """A written table in the shared folder; in a single process without one, a temporary folder."""
+    """A written table in the shared folder."""
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/cluster-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "cluster")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

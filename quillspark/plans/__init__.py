@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import keyword_queries, misc_queries, temporal_queries, text_queries  # noqa: F401
+    from . import io_queries, keyword_queries, misc_queries, temporal_queries, text_queries  # noqa: F401
     from .registry import QUERIES
 
     return dict(QUERIES)

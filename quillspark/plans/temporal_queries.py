@@ -257,3 +257,18 @@ def ta_near_sim_events(spark, d):
 def ta_hashtag_storm_events(spark, d):
     e = events(spark, d, "event_type")
     return co.events_in_groups(e, co.amplification(e, "event_type"), "event_type")
+
+
+@query()
+def ta_indicators(spark, d):
+    from .bundles import indicators
+
+    return indicators(events(spark, d))
+
+
+@query("SELECT CAST(hour(ts) AS BIGINT) AS hour, count(*) AS count FROM events GROUP BY 1")
+def ta_orchestrate(spark, d):
+    """One table of the bundle; the others are queries of their own."""
+    from .bundles import temporal
+
+    return temporal(table(spark, d, "events"), "ts", "event_id", "user_id", hashtag="event_type")["by_hour"]
