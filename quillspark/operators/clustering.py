@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..sources.files import shared_folder
 
 MAX_DOCS, TILE = 500_000, 4096
@@ -36,7 +37,8 @@ def normalised(c: Column) -> Column:
 def hashed_vectors(df: DataFrame, row_index: str, text: str, dims: int = 256, n: int = 3) -> DataFrame:
     """Texts as normalised counts of hashed character n-grams, for when no embedding model is at hand."""
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    grams = F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array(t))
+    chars = tx.words_of(t, "(?s).")
+    grams = F.when(F.size(chars) >= n, tx.ngrams(chars, n, "")).otherwise(F.array(t))
     cells = df.select(F.col(row_index).alias("row_index"), F.explode(grams).alias("g")).groupBy("row_index", F.pmod(F.xxhash64("g"), F.lit(dims)).cast("int").alias("cell")).agg(F.count("*").cast("double").alias("x"))
     m = cells.groupBy("row_index").agg(F.map_from_entries(F.collect_list(F.struct("cell", "x"))).alias("m"))
     v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))

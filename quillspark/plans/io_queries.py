@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import api, roles, sinks, tables
+from ..operators import enrich as en
+from ..operators import image_match as im
+from ..operators import lexicon as lx
+from ..operators import links as ln
+from ..operators import relabel as nr
+from ..operators import transfers as cr
+from ..sources import api, roles, sinks, tables, xlsx
 from ..sources.files import shared_folder
 from .registry import query, table
 
@@ -140,3 +146,248 @@ def sink_list_cells(spark, d):
 def sink_json_state(spark, d):
     r = table(spark, d, "region").select("r_regionkey", "r_name")
     return sinks.json_rows(r).select(F.get_json_object("json", "$.r_regionkey").cast("int").alias("r_regionkey"), "json")
+
+
+@query("SELECT p_partkey, p_name || ' é' AS p_name FROM part")
+def src_csv_encoding(spark, d):
+    path = shared_folder(spark, "latin")
+    p = _part(spark, d).select("p_partkey", F.concat("p_name", F.lit(" é")).alias("p_name"))
+    p.write.csv(path, header=True, encoding="ISO-8859-1")
+    return tables.csv_encoded(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name")
+
+
+@query("SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS total FROM lineitem")
+def src_csv_chunked(spark, d):
+    """A large table read in splits; nothing holds it whole."""
+    path = shared_folder(spark, "chunks")
+    sinks.write_csv(table(spark, d, "lineitem").select("l_orderkey", "l_comment" if "l_comment" in table(spark, d, "lineitem").columns else "l_shipdate"), path)
+    return tables.csv_strings(spark, path).agg(F.count("*").alias("n"), F.sum(F.expr("try_cast(l_orderkey AS bigint)")).alias("total"))
+
+
+@query("SELECT '7' AS id, 'x' AS name UNION ALL SELECT '8', ''")
+def src_url_csv(spark, d):
+    return tables.csv_from_url(spark, "https://t.example/t.csv", lambda url: "id,name\n7,x\n8\n")
+
+
+def _workbook(spark, sheets):
+    import io
+
+    f = io.BytesIO()
+    xlsx.write_workbook(sheets, f)
+    return spark.createDataFrame([(f.getvalue(),)], "content binary")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def src_excel(spark, d):
+    return xlsx.parse(_workbook(spark, {"nation": table(spark, d, "nation").select("n_nationkey", "n_name")}), ["n_nationkey", "n_name"])
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
+def sink_xlsx(spark, d):
+    return xlsx.parse(_workbook(spark, {"region": table(spark, d, "region").select("r_regionkey", "r_name")}), ["r_regionkey", "r_name"])
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
+def sink_xlsx_multi(spark, d):
+    """The second of two sheets."""
+    return xlsx.parse(_workbook(spark, {"nation": table(spark, d, "nation").select("n_name"), "region": table(spark, d, "region").select("r_regionkey", "r_name")}), ["r_regionkey", "r_name"], "region")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def sink_csv(spark, d):
+    path = shared_folder(spark, "csv")
+    sinks.write_csv(table(spark, d, "nation").select("n_nationkey", "n_name"), path, one_file=True)
+    return spark.read.csv(path, header=True, schema="n_nationkey int, n_name string")
+
+
+@query("SELECT event_id, ts FROM events")
+def sink_excel_safe(spark, d):
+    return sinks.spreadsheet_safe(table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")))
+
+
+def _nation_graph(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("term"), "n_regionkey")
+    a, b = n.select(F.col("term").alias("a"), "n_regionkey"), n.select(F.col("term").alias("b"), "n_regionkey")
+    return n, a.join(b, "n_regionkey").where("a < b").select("a", "b", F.lit(1).cast("long").alias("weight"))
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS nodes, count(*) AS edges FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
+def sink_graphml(spark, d):
+    text = sinks.graphml(*_nation_graph(spark, d))
+    return spark.createDataFrame([(text.count("<node "), text.count("<edge "))], "nodes long, edges long")
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS nodes, count(*) AS edges FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
+def sink_gexf(spark, d):
+    n, e = _nation_graph(spark, d)
+    text = sinks.gexf(n.select(F.col("term").alias("address"), F.col("term").alias("label")), e.select(F.col("a").alias("from"), F.col("b").alias("to"), F.col("weight").alias("count")))
+    return spark.createDataFrame([(text.count("<node "), text.count("<edge "))], "nodes long, edges long")
+
+
+@query("SELECT url, octet_length(encode(html)) AS bytes FROM pages")
+def sink_zip_manifest(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url", "html", F.lit(None).cast("string").alias("error"))
+    return ln.download_manifest(p, "page_id").select("url", "bytes")
+
+
+@query("SELECT s AS value, s IN ('1', 'on', 'Yes') AS truthy FROM (SELECT unnest(['1', 'on', 'Yes', 'no', '']) AS s)")
+def lx_truthy(spark, d):
+    return spark.createDataFrame([(v, lx.truthy(v)) for v in ("1", "on", "Yes", "no", "")], "value string, truthy boolean")
+
+
+def _pictures(spark, d):
+    """Rows as the image source gives them: grey pictures of 32 x 32, from embeddings."""
+    import pandas as pd
+
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    image = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+    def draw(frames):
+        import numpy as np
+
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples():
+                v = np.array(r.embedding)[:32]
+                grey = np.clip(128 + 200 * np.outer(v, v[::-1]) * 8, 0, 255).astype("uint8")
+                rows.append({"origin": f"img{r.vec_id}", "height": 32, "width": 32, "nChannels": 1, "mode": 0, "data": grey.tobytes()})
+            yield pd.DataFrame({"image": rows})
+
+    return e.mapInPandas(draw, image)
+
+
+@query("SELECT 'img' || vec_id AS name, CAST(4 AS INTEGER) AS parts FROM embeddings")
+def im_phash(spark, d):
+    return im.hash_images(_pictures(spark, d)).select("name", F.size("hash").alias("parts"))
+
+
+@query("SELECT count(*) AS images FROM embeddings")
+def src_images(spark, d):
+    return _pictures(spark, d).agg(F.count("*").alias("images"))
+
+
+@query("SELECT c_custkey, i AS band, (c_custkey >> (16 * i)) & 65535 AS key FROM customer, range(0, 4) r(i)")
+def im_bits(spark, d):
+    h = F.array(F.col("c_custkey"), *(F.lit(0).cast("long"),) * 3)
+    return table(spark, d, "customer").select("c_custkey", F.posexplode(im.bands(h)).alias("band", "key")).where("band < 4").select("c_custkey", F.col("band").cast("long").alias("band"), F.col("key").cast("long").alias("key"))
+
+
+@query("SELECT page_id, starts_with(url, 'http://') OR starts_with(url, 'https://') AS http FROM pages")
+def url_is_http(spark, d):
+    from ..functions.text import is_http
+
+    return table(spark, d, "pages").select("page_id", is_http(F.col("url")).alias("http"))
+
+
+# services, by transports without a network
+
+
+def _service(spark, name, schema, page, keys):
+    api.register(spark, name, schema, lambda key, cursor: page(key, cursor or 0))
+    return api.read(spark, name, keys)
+
+
+@query("SELECT n_name AS search_term, count(*) AS items_collected FROM nation, range(0, 6) GROUP BY 1")
+def src_api_ads(spark, d):
+    ads = _service(spark, "quill_ads", "id string", lambda k, c: (200, [(f"{k}-{c}-{i}",) for i in range(3)], c + 1 if c < 1 else None), [r["n_name"] for r in table(spark, d, "nation").collect()])
+    return ads.groupBy(F.col("key").alias("search_term")).agg(F.count("id").alias("items_collected"))
+
+
+@query("SELECT 'https://site' || n_nationkey || '.example/wp-json/wp/v2/posts' AS endpoint, count(*) AS posts FROM nation, range(0, 4) GROUP BY 1")
+def src_api_wp(spark, d):
+    ends = [r[0] for r in table(spark, d, "nation").select(en.endpoint(F.concat(F.lit("site"), "n_nationkey", F.lit(".example")))).collect()]
+    posts = _service(spark, "quill_wp", "id long, title string", lambda k, c: (200, [(c * 2 + i, "t") for i in range(2)], c + 1 if c < 1 else None), ends)
+    return posts.groupBy(F.col("key").alias("endpoint")).agg(F.count("id").alias("posts"))
+
+
+@query("SELECT '\"' || n_name || ' state-controlled media\" site:facebook.com' AS query, i + 1 AS position FROM nation, range(0, 4) r(i)")
+def src_api_serp(spark, d):
+    asked = [r["query"] for r in ln.preset_cross(table(spark, d, "nation").select(F.col("n_name").alias("country")), spark.createDataFrame([("facebook.com",)], "site string")).collect()]
+    hits = _service(spark, "quill_serp", "position long, link string", lambda k, c: (200, [(c * 2 + i + 1, "https://facebook.com/p") for i in range(2)], c + 1 if c < 1 else None), asked)
+    return hits.select(F.col("key").alias("query"), "position")
+
+
+@query("SELECT 'c' || c_custkey AS base_wallet, count(*) AS legs FROM customer, range(0, 3) GROUP BY 1")
+def src_api_transfers(spark, d):
+    keys = [f"c{r['c_custkey']}" for r in table(spark, d, "customer").collect()]
+    raw = _service(spark, "quill_transfers", "body string", lambda k, c: (200, [('{"hash":"h%d","fromAddress":{"address":"%s"},"toAddress":{"address":"z"}}' % (c, k),)], c + 1 if c < 2 else None), keys)
+    legs = cr.flatten_legs(raw.select(F.from_json("body", cr.TRANSFER).alias("transfer"), F.lit("out").alias("direction"), F.col("key").alias("base_wallet")))
+    return legs.groupBy("base_wallet").agg(F.count("*").alias("legs"))
+
+
+@query("SELECT 'u' || c_custkey AS value, 'Q' || c_custkey AS qid FROM customer")
+def src_api_sparql(spark, d):
+    keys = [f"u{r['c_custkey']}" for r in table(spark, d, "customer").collect()]
+    return _service(spark, "quill_sparql", "qid string", lambda k, c: (200, [("Q" + k[1:],)], None), keys).select(F.col("key").alias("value"), "qid")
+
+
+@query("SELECT 'Q' || c_custkey AS qid, 'P1' AS property, 'v' || c_custkey AS value FROM customer")
+def src_api_entity(spark, d):
+    keys = [f"Q{r['c_custkey']}" for r in table(spark, d, "customer").collect()]
+    raw = _service(spark, "quill_entity", "claims string", lambda k, c: (200, [('{"P1":[{"snaktype":"value","value":"\\"v%s\\""}],"P8":[]}' % k[1:],)], None), keys)
+    return en.claims(raw.select(F.col("key").alias("qid"), F.from_json("claims", "map<string,array<struct<snaktype:string,value:string>>>").alias("claims")), ["P1"])
+
+
+@query("SELECT p_partkey AS id, p_brand AS topic FROM part")
+def src_api_topics(spark, d):
+    of = {r["p_partkey"]: r["p_brand"] for r in table(spark, d, "part").collect()}
+    rows = _service(spark, "quill_topics", "id long, topic string", lambda k, c: (200, [(i, of[i]) for i in sorted(of)[c * 100 : c * 100 + 100]], c + 1 if (c + 1) * 100 < len(of) else None), ["map"])
+    return rows.select("id", "topic")
+
+
+@query("SELECT 'https://h.example/' || c_custkey AS url, 200 AS http_status FROM customer")
+def src_http_head_get(spark, d):
+    urls = table(spark, d, "customer").select(F.concat(F.lit("https://h.example/"), "c_custkey").alias("url"))
+    return ln.fetch_all(urls, lambda u: {"final_url": u, "http_status": 200, "chain": [u], "content_type": "", "html": "", "ms": 0.0, "error": None}).select("url", "http_status")
+
+
+def _role(spark, name, value):
+    return spark.createDataFrame([(name, value)], "role string, `column` string")
+
+
+@query("SELECT 'generic' AS role, 'p_brand' AS column")
+def col_generic(spark, d):
+    return _role(spark, "generic", roles.generic_column(_part(spark, d), None, ["Brand"], "brand"))
+
+
+@query("SELECT 'text' AS role, 'text' AS column")
+def col_text(spark, d):
+    return _role(spark, "text", roles.text_column(table(spark, d, "documents")))
+
+
+@query("SELECT 'text_cluster' AS role, 'text' AS column")
+def col_text_cluster(spark, d):
+    return _role(spark, "text_cluster", roles.preferred_column(table(spark, d, "documents").columns, None, ("Text",)))
+
+
+@query("SELECT 'address' AS role, 'c_custkey' AS column")
+def col_address(spark, d):
+    return _role(spark, "address", roles.preferred_column(table(spark, d, "customer").columns, None, ("address", "wallet")))
+
+
+@query("SELECT 'identifier' AS role, 'url' AS column")
+def col_identifier(spark, d):
+    return _role(spark, "identifier", roles.preferred_column(table(spark, d, "pages").columns, None, ("url", "link", "handle", "username", "id")))
+
+
+@query("SELECT 'terms' AS role, 'n_name' AS column")
+def col_terms(spark, d):
+    return _role(spark, "terms", roles.first_string(table(spark, d, "nation")))
+
+
+@query("SELECT (SELECT count(*) FROM part) AS rows, count(DISTINCT p_brand) AS topics FROM part")
+def nr_inspect(spark, d):
+    from .misc_queries import metadata, topics
+
+    t = topics(spark, d)
+    return nr.depth_summary(t, metadata(spark, d)).where("depth = 2").select(F.lit(t.count()).cast("long").alias("rows"), "topics")
+
+
+@query("SELECT topic, count(*) AS n FROM (SELECT p_brand AS topic, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 3 GROUP BY 1")
+def nr_export(spark, d):
+    """Sampled posts with their rows, in the order of the label table."""
+    from .misc_queries import metadata, topics
+
+    t = topics(spark, d)
+    rows = nr.sample(t, "p_partkey", 2, 3, None).join(table(spark, d, "part"), "p_partkey", "left")
+    return nr.workbook_order(rows, nr.label_table(t, metadata(spark, d), 2), "topic", "p_partkey").groupBy("topic").agg(F.count("*").alias("n"))

@@ -33,9 +33,9 @@ def docs(spark, d):
     return lx.with_group(table(spark, d, "documents"), "lang").select("doc_id", "group", "text", tx.tokens(tx.clean_text(F.col("text")), lx.STOP_WORDS).alias("tokens"))
 
 
-@query("""SELECT doc_id, x.k AS k, trim(x.t) AS term FROM (SELECT doc_id, unnest(list_transform(list_filter(regexp_split_to_array(substr(text, 1, 200), '[,|\n]+'), lambda p: trim(p) <> ''), lambda p, i: {'k': i - 1, 't': p})) AS x FROM documents)""")
+@query("""SELECT doc_id, x.k AS k, trim(x.t) AS term FROM (SELECT doc_id, unnest(list_transform(list_filter(regexp_split_to_array(text, '[,|\n]+'), lambda p: trim(p) <> ''), lambda p, i: {'k': i - 1, 't': p})) AS x FROM documents)""")
 def lx_split_terms(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(tx.split_terms_column(F.substring("text", 1, 200))).alias("k", "term"))
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(tx.split_terms_column(F.col("text"))).alias("k", "term"))
     return t.select("doc_id", F.col("k").cast("long").alias("k"), "term")
 
 
@@ -248,7 +248,7 @@ def tx_counts(spark, d):
 def _social(spark, d):
     """Texts with profile links made from ids, since the documents hold none."""
     i = F.col("doc_id")
-    t = F.concat(F.substring("text", 1, 50), F.lit(" https://twitter.com/user_"), i % 9, F.lit(" http://www.T.me/chan-"), i % 4, F.lit("/2 https://youtube.com/channel/UC"), i % 3, F.lit("?x=1 0x"), F.lpad(F.hex(i % 16), 40, "a"))
+    t = F.concat("text", F.lit(" https://twitter.com/user_"), i % 9, F.lit(" http://www.T.me/chan-"), i % 4, F.lit("/2 https://youtube.com/channel/UC"), i % 3, F.lit("?x=1 0x"), F.lpad(F.hex(i % 16), 40, "a"))
     return table(spark, d, "documents").select("doc_id", t.alias("text"))
 
 
@@ -276,7 +276,7 @@ def tx_crypto(spark, d):
     return _social(spark, d).select("doc_id", F.explode(ex.wallets(F.col("text"))).alias("x")).select("doc_id", "x.*").where("currency = 'Ethereum'")
 
 
-@query(f"""SELECT s.doc_id AS row_index, array_to_string(regexp_extract_all(substr(d.text, 1, 50), '\\b[a-z]{{3}}ing\\b'), '; ') AS matches, CAST(len(regexp_extract_all(substr(d.text, 1, 50), '\\b[a-z]{{3}}ing\\b')) AS BIGINT) AS match_count,
+@query(f"""SELECT s.doc_id AS row_index, array_to_string(regexp_extract_all(d.text, '\\b[a-z]{{3}}ing\\b'), '; ') AS matches, CAST(len(regexp_extract_all(d.text, '\\b[a-z]{{3}}ing\\b')) AS BIGINT) AS match_count,
     string_agg(x.platform || ':' || x.handle, '; ' ORDER BY CASE x.platform WHEN 'YouTube' THEN 1 WHEN 'Telegram' THEN 2 ELSE 3 END) AS social_profiles, count(*) AS social_profile_count FROM {SOCIAL} s JOIN documents d USING (doc_id) GROUP BY s.doc_id, d.text""")
 def tx_tabular_rows(spark, d):
     return ex.tabular_rows(_social(spark, d), "text", "doc_id", r"\b[a-z]{3}ing\b").drop("text", "crypto_wallets", "crypto_wallet_count")

@@ -1,10 +1,10 @@
-"""Paged services as batch data sources: one partition for each key, an injected transport, bounded retries."""
+"""Paged services as batch data sources: keys dealt over partitions, an injected transport, bounded retries."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,16 +22,7 @@ class Paging:
     longest: float = 30.0
     retry_on: tuple[int, ...] = (429, 500, 502, 503, 504)
     start: object = None
-
-
-@dataclass
-class _Partition(InputPartition):
-    key: str = ""
-    more: dict = field(default_factory=dict)
-
-    def __init__(self, key: str):
-        super().__init__(key)
-        self.key = key
+    partitions: int = 16
 
 
 def pages(key: str, transport: Transport, paging: Paging) -> Iterator[tuple[list[tuple], str | None]]:
@@ -69,14 +60,16 @@ def register(spark: SparkSession, name: str, schema: str, transport: Transport,
             self.keys = keys
 
         def partitions(self) -> list[InputPartition]:
-            return [_Partition(k) for k in self.keys]
+            n = min(len(self.keys), paging.partitions)
+            return [InputPartition(self.keys[i::n]) for i in range(n)] or [InputPartition([])]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            for rows, error in pages(partition.key, transport, paging):
-                if error is not None:
-                    yield (partition.key, error, *(None,) * width)
-                for r in rows:
-                    yield (partition.key, None, *r)
+            for key in partition.value:
+                for rows, error in pages(key, transport, paging):
+                    if error is not None:
+                        yield (key, error, *(None,) * width)
+                    for r in rows:
+                        yield (key, None, *r)
 
     class Source(DataSource):
         @classmethod

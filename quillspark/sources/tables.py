@@ -66,6 +66,13 @@ def pasted_rows(lines_: DataFrame) -> DataFrame:
     return lines_.select(F.when(two, F.trim(p[0])).alias("country"), F.when(two, F.trim(p[1])).alias("site"), F.when(~two, F.col("line")).alias("query"))
 
 
+def csv_from_url(spark: SparkSession, url: str, fetch) -> DataFrame:
+    """A delimited table behind an address; ``fetch(url)`` gives its text. All columns are text."""
+    rows = list(csv.reader(fetch(url).lstrip("﻿").splitlines()))
+    head = rows[0] if rows else []
+    return spark.createDataFrame([tuple((r + [""] * len(head))[: len(head)]) for r in rows[1:]], ", ".join(f"`{c}` string" for c in head)) if head else spark.createDataFrame([], "value string")
+
+
 def many_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files with differing columns as one table; more than one adds ``source_file``."""
     parts = [csv_infer(spark, p) for p in paths]

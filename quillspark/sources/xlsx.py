@@ -79,6 +79,27 @@ class _Reader(DataSourceReader):
             yield tuple((r + [""] * self.width)[: self.width])
 
 
+def parse(contents: DataFrame, columns: list[str], sheet: str | None = None, content: str = "content") -> DataFrame:
+    """Rows of workbooks that stand in a binary column (as the ``binaryFile`` source reads them from any store), as text."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in frames:
+            for data in pdf[content]:
+                rows = _cells(bytes(data), sheet)[1:]
+                yield pd.DataFrame([(r + [""] * len(columns))[: len(columns)] for r in rows], columns=columns, dtype=str)
+
+    return contents.select(content).mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+
+
+def workbook(spark, path: str, sheet: str | None = None) -> DataFrame:
+    """Workbooks below a path of any store; the first one's first row names the columns."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    head = (_cells(bytes(files.orderBy("path").first()["content"]), sheet) or [[]])[0]
+    return parse(files, [c or f"column_{i}" for i, c in enumerate(head)], sheet)
+
+
 def sheet_names(names: list[str]) -> list[str]:
     """Legal names of at most 31 characters, all different."""
     out: list[str] = []
@@ -92,8 +113,8 @@ def sheet_names(names: list[str]) -> list[str]:
     return out
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str, most_rows: int = 1_048_575) -> None:
-    """One sheet for each table, cells as text or numbers. Rows stream to the driver; a sheet holds ``most_rows`` at most, as the format does."""
+def write_workbook(sheets: dict[str, DataFrame], path, most_rows: int = 1_048_575) -> None:
+    """One sheet for each table, cells as text or numbers; ``path`` may be an open file. Rows stream to the driver; a sheet holds ``most_rows`` at most, as the format does."""
     names = sheet_names(list(sheets))
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
