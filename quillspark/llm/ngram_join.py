@@ -29,13 +29,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, most_frequent, release, spans, utf8, written
+from .common import discard, most_frequent, release, small_batches, spans, utf8, written
 from .components import components
 from .words import mixed, shingles, word_hashes
 
 #: Shingles of at least so many documents among some million, and at most so many shingles, come last in the order.
-OFTEN, MOST_FREQUENT, LOCAL, FLUSH = 8, 1 << 17, 3, 4_000_000
+OFTEN, MOST_FREQUENT, LOCAL, FLUSH = 8, 1 << 17, 3, 2_000_000
 CELL_BITS, BITS, TILE_ROWS, BLOOM_WORDS = 22, 512, 8192, 1 << 20
+PAIRS = 1 << 16  # compared at once
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 _CELL = np.uint64(64 - CELL_BITS)
 
@@ -206,13 +207,13 @@ def _tiles(num: int, den: int, nearest: bool):
         after = np.append(np.flatnonzero(other)[1:], len(tile))[np.cumsum(other) - 1]
         many = end - after
         out = [np.zeros((2, 0), np.int64)]
-        cuts = spans(np.concatenate([[0], np.cumsum(many)]), 1 << 18)
+        cuts = spans(np.concatenate([[0], np.cumsum(many)]), PAIRS)
         for lo, hi in cuts:
             m = many[lo:hi]
             i = np.repeat(np.arange(lo, hi), m)
             j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(after[lo:hi], m)
-            for s in range(0, len(i), 1 << 18):
-                a, b = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
+            for s in range(0, len(i), PAIRS):
+                a, b = i[s : s + PAIRS], j[s : s + PAIRS]
                 small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
                 ok = (den * small >= num * large) & ((side[a] == 0) | (side[a] != side[b]))
                 a, b = a[ok], b[ok]
@@ -262,6 +263,11 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     ``component_id`` is the smallest doc_id that links reach, the document's own included. ``tables`` gets the
     written tables that the result still reads, for the caller to discard.
     """
+    with small_batches(docs.sparkSession):
+        return _classes(docs, words, num, den, tables)
+
+
+def _classes(docs: DataFrame, words: int, num: int, den: int, tables: list[DataFrame] | None) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     late = spark.sparkContext.broadcast(frequent_cells(docs, words))
