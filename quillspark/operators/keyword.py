@@ -116,8 +116,11 @@ def cooccurrence_scores(c: Corpus, seeds: list[str], min_df: int = 5, weights: t
     return t.select("term", "n_co", "doc_count", "pmi", "llr", (weights[0] * F.col("_p") + weights[1] * F.col("_l")).alias("score"))
 
 
-def evidence(c: Corpus, terms: DataFrame, within: DataFrame | None = None, most: int = 5, sample: int | None = None, whole_word: bool = True) -> DataFrame:
-    """``term, evidence``: beginnings (300 characters) of the first documents that hold each term."""
+def evidence(c: Corpus, terms: DataFrame, within: DataFrame | None = None, most: int = 5, sample: int | None = 40, whole_word: bool = True) -> DataFrame:
+    """``term, evidence``: beginnings (300 characters) of the first documents that hold each term.
+
+    A term's first ``sample`` documents are looked at, so that frequent terms don't bring all their texts.
+    """
     p = c.postings.join(F.broadcast(terms.select("term")), "term")
     if within is not None:
         p = p.join(within, "doc_id", "left_semi")
