@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import spans, utf8
 
 Q, WINDOW, STRIDE, BAND, MIN_ITEM = 8, 64, 8, 8, 32
-PART_BYTES, PIECE_BYTES, TABLE_BITS = 32 << 20, 1 << 18, 22
+PART_BYTES, PIECE_BYTES, TABLE_BITS = 2 << 20, 1 << 18, 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
