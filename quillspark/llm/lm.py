@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, spans, utf8, written
+from .common import most_frequent, small_batches, spans, utf8, written
 from .words import word_hashes
 
 #: Network: words, classes, state. Known: words whose counts go to all executors; the rest are joined.
 VOCABULARY, CLASSES, STATE, KNOWN = 8192, 64, 16, 1 << 18
-SLOTS, WINDOW, TRAIN_SLOTS, TRAIN_WINDOW, RATE, FLUSH = 256, 64, 64, 32, 0.08, 4_000_000
+SLOTS, WINDOW, TRAIN_SLOTS, TRAIN_WINDOW, RATE, FLUSH, BATCH_ROWS = 256, 64, 64, 32, 0.08, 2_000_000, 3000
 #: Documents of the first sample; one training document in so many is learnt from.
 FIRST_DOCUMENTS, ONE_IN, CHUNK = 600, 8, 8192
 END = np.uint64(0x9D5F3C1B7A2E4680)
@@ -433,6 +433,7 @@ def score_corpus(docs: DataFrame, held_out: Column) -> DataFrame:
     """Learn from the documents that aren't held out, and score them all."""
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     training = docs.where(~F.col("held_out"))
-    counts = written(count_words(training), "lm-counts")
-    words, net = learn(training, counts)
-    return score(docs, words, net, counts)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        counts = written(count_words(training), "lm-counts")
+        words, net = learn(training, counts)
+        return score(docs, words, net, counts)
