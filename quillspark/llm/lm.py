@@ -5,8 +5,7 @@ p(word | state) = p(class | state) * p(word | class, state). All other words sha
 its smoothed share of that class's counts, so the scores are a distribution over all words seen, and one for the unseen.
 
 The network (a GRU) learns by truncated backpropagation: first from a small sample in one task, and then in every task from that
-start on the task's share of the training sample, after which the weights are averaged. The sample is a fixed share of the training
-documents, so it grows with the corpus. Scoring runs documents side by side in streams and carries the state from
+start on the task's share of all training documents, after which the weights are averaged. Scoring runs documents side by side in streams and carries the state from
 window to window, so a document's log-likelihood covers all of it.
 
 Defined cases: a null or empty text is one end token; repeated rows get a row each and all count; without training
@@ -31,8 +30,8 @@ from .words import word_hashes
 #: Network: words, classes, state. Known: words whose counts go to all executors; the rest are joined.
 VOCABULARY, CLASSES, STATE, KNOWN = 8192, 64, 16, 1 << 18
 SLOTS, WINDOW, TRAIN_SLOTS, TRAIN_WINDOW, RATE, FLUSH, BATCH_ROWS = 256, 64, 64, 32, 0.08, 2_000_000, 3000
-#: Documents of the first sample; one training document in so many is learnt from.
-FIRST_DOCUMENTS, ONE_IN, CHUNK = 600, 8, 8192
+#: Documents of the first sample, which gives all tasks one start.
+FIRST_DOCUMENTS, CHUNK = 600, 8192
 END = np.uint64(0x9D5F3C1B7A2E4680)
 
 
@@ -108,6 +107,12 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(1, keepdims=True)))[:, 0]
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    e /= e.sum(1, keepdims=True)
+    return e
+
+
 class Streams:
     """Documents side by side: ``slots`` streams, the longest first; at step t the first ``active(t)`` streams have a token."""
 
@@ -209,28 +214,33 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
         for t in range(n):
             x = before[t] = h * keep[t]
             a = x @ net.gates
-            g = gate[t] = _sigmoid(a[:, : 2 * size] + given[t, :, : 2 * size])
+            g = gate[t]
+            g[:] = _sigmoid(a[:, : 2 * size] + given[t, :, : 2 * size])
             rec[t] = a[:, 2 * size :]
-            new[t] = np.tanh(given[t, :, 2 * size :] + g[:, size:] * rec[t])
-            h = new[t] + g[:, :size] * (x - new[t])
+            y = new[t]
+            np.tanh(given[t, :, 2 * size :] + g[:, size:] * rec[t], out=y)
+            h = y + g[:, :size] * (x - y)
         some = np.flatnonzero(real.ravel())
+        kind = np.minimum(np.searchsorted(words.bounds, target.ravel()[some], "right") - 1, len(words.bounds) - 1)
+        order = np.argsort(kind, kind="stable")  # a class's rows stand together
+        some, kind = some[order], kind[order]
         x, y = before.reshape(-1, size)[some], target.ravel()[some]
         scale = np.float32(1 / len(some))
         # output layer
-        kind = np.minimum(np.searchsorted(words.bounds, y, "right") - 1, len(words.bounds) - 1)
         logit = x @ net.class_out.T + net.class_bias
-        d = np.exp(logit - _log_sum(logit)[:, None])
+        d = _softmax(logit)
         d[np.arange(len(y)), kind] -= 1
         d *= scale
         dx = d @ net.class_out
         _step(net, "class_out", slice(None), d.T @ x, rate)
         _step(net, "class_bias", slice(None), d.sum(0), rate)
-        for c, rows in _by_class(words, y):
-            lo, hi = words.bounds[c], words.bounds[c + 1]
+        cut = np.searchsorted(kind, np.arange(len(words.bounds)))
+        for c in np.flatnonzero(cut[1:] > cut[:-1]):
+            rows, lo, hi = slice(cut[c], cut[c + 1]), words.bounds[c], words.bounds[c + 1]
             xr = x[rows]
             logit = xr @ net.word_out[lo:hi].T + net.word_bias[lo:hi]
-            d = np.exp(logit - _log_sum(logit)[:, None])
-            d[np.arange(len(rows)), y[rows] - lo] -= 1
+            d = _softmax(logit)
+            d[np.arange(len(d)), y[rows] - lo] -= 1
             d *= scale
             dx[rows] += d @ net.word_out[lo:hi]
             _step(net, "word_out", slice(lo, hi), d.T @ xr, rate)
@@ -240,16 +250,19 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
         d_out[some] = dx
         d_out = d_out.reshape(n, live, size)
         d_given, d_rec = np.zeros((n, live, 3 * size), np.float32), np.zeros((n, live, 3 * size), np.float32)
+        z, r = gate[:, :, :size], gate[:, :, size:]
+        to_new, to_z, to_r = (1 - z) * (1 - new**2), (before - new) * z * (1 - z), rec * r * (1 - r)
+        there, back = real[:, :, None].astype(np.float32), np.ascontiguousarray(net.gates.T)
         dh = np.zeros((live, size), np.float32)
         for t in range(n - 1, -1, -1):
-            dh = dh * real[t][:, None]
-            z, r = gate[t, :, :size], gate[t, :, size:]
-            dn = dh * (1 - z) * (1 - new[t] ** 2)
-            dz = dh * (before[t] - new[t]) * z * (1 - z)
-            dr = dn * rec[t] * r * (1 - r)
-            d_given[t] = np.concatenate([dz, dr, dn], axis=1)
-            d_rec[t] = np.concatenate([dz, dr, dn * r], axis=1)
-            dh = (d_out[t] + dh * z + d_rec[t] @ net.gates.T) * keep[t]
+            dh *= there[t]
+            g, b = d_given[t], d_rec[t]
+            np.multiply(dh, to_z[t], out=g[:, :size])
+            np.multiply(dh, to_new[t], out=g[:, 2 * size :])
+            np.multiply(g[:, 2 * size :], to_r[t], out=g[:, size : 2 * size])
+            b[:, : 2 * size] = g[:, : 2 * size]
+            np.multiply(g[:, 2 * size :], r[t], out=b[:, 2 * size :])
+            dh = (d_out[t] + dh * z[t] + b @ back) * keep[t]
         grad = before.reshape(-1, size).T @ d_rec.reshape(-1, 3 * size)
         norm = float(np.sqrt((grad**2).sum()))
         _step(net, "gates", slice(None), grad * min(1.0, 1.0 / max(norm, 1e-9)), rate)
@@ -363,7 +376,7 @@ def _trained(docs: DataFrame, sent, tasks: int | None) -> Net:
     return start.filled(np.frombuffer(b"".join(got["weights"]), np.float32))
 
 
-def learn(training: DataFrame, counts: DataFrame, one_in: int = ONE_IN) -> tuple[Words, Net]:
+def learn(training: DataFrame, counts: DataFrame) -> tuple[Words, Net]:
     spark = training.sparkSession
     words = known_words(counts)
     net = fresh(words)
@@ -373,8 +386,7 @@ def learn(training: DataFrame, counts: DataFrame, one_in: int = ONE_IN) -> tuple
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
     first = training.where(place < max(1, int((1 << 30) * min(1.0, FIRST_DOCUMENTS / ends))))
     net = _trained(first, spark.sparkContext.broadcast((words, net)), 1)
-    rest = training.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(one_in)) == 0)
-    return words, _trained(rest, spark.sparkContext.broadcast((words, net)), None)
+    return words, _trained(training, spark.sparkContext.broadcast((words, net)), None)
 
 
 def score(docs: DataFrame, words: Words, net: Net, counts: DataFrame) -> DataFrame:

@@ -87,6 +87,19 @@ def test_lm_gradients():
             assert abs((loss(a) - loss(b)) / 2e-2 - grad[at]) < 2e-3
 
 
+def test_lm_learns_from_every_training_document(spark, rng, monkeypatch):
+    df = frame(spark, [(i, prose(rng, 12, 40)) for i in range(1400)])
+    passes, real = [], lm._trained
+
+    def spied(docs, sent, tasks):
+        passes.append(sorted(r["doc_id"] for r in docs.select("doc_id").collect()))
+        return real(docs, sent, tasks)
+
+    monkeypatch.setattr(lm, "_trained", spied)
+    lm.score_corpus(df, doc_remainder(F.col("doc_id"), 5) == 1)
+    assert passes[-1] == [i for i in range(1400) if zlib.crc32(str(i).encode()) % 5 != 1]
+
+
 # classifiers
 
 
