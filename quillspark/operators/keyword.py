@@ -174,12 +174,14 @@ def semantic_scores(c: Corpus, seeds: list[str], min_df: int = 5, window: int =
 
     The PPMI matrix (a bounded vocabulary) is factored with the distributed RowMatrix SVD.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.mllib.linalg import Vectors, VectorUDT
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.sql.types import LongType, StructField, StructType
 
     spark = c.docs.sparkSession
     seeds = [s.lower() for s in seeds]
     table = ppmi(c, min_df, window, max_vocab).where("ppmi > 0").persist()
+    kept = None
     try:
         names = [r["a"] for r in table.select("a").distinct().orderBy("a").collect()]
         at = {t: i for i, t in enumerate(names)}
@@ -190,12 +192,17 @@ def semantic_scores(c: Corpus, seeds: list[str], min_df: int = 5, window: int =
             return empty
         ids = spark.createDataFrame([(t, i) for t, i in at.items()], "t string, i long")
         rows = table.join(F.broadcast(ids), F.col("a") == F.col("t")).select(F.col("i").alias("ia"), "b", "ppmi").join(F.broadcast(ids), F.col("b") == F.col("t")).groupBy("ia").agg(F.array_sort(F.collect_list(F.struct("i", "ppmi"))).alias("v"))
-        matrix = IndexedRowMatrix(rows.rdd.map(lambda r, n=len(names): IndexedRow(r["ia"], Vectors.sparse(n, [(x["i"], x["ppmi"]) for x in r["v"]]))))
+        vectors = rows.rdd.map(lambda r, n=len(names): (r["ia"], Vectors.sparse(n, [(x["i"], x["ppmi"]) for x in r["v"]])))
+        # every step of the factoring reads the rows again, so they stay in the JVM
+        kept = spark.createDataFrame(vectors, StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])).persist()
+        matrix = IndexedRowMatrix(kept, 0, len(names))
         svd = matrix.computeSVD(k, computeU=True)
         weight = np.sqrt(svd.s.toArray())
         u = svd.U.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist())).collect()
     finally:
         table.unpersist()
+        if kept is not None:
+            kept.unpersist()
     x = np.zeros((len(names), len(weight)))
     for i, v in u:
         x[i] = np.array(v) * weight

@@ -120,7 +120,7 @@ def kd_ppmi(spark, d):
 
 @query()
 def kd_semantic(spark, d):
-    return kd.semantic(corpus(spark, d), SEEDS, 50, MIN_DF, dims=50, max_vocab=1000)
+    return kd.semantic(corpus(spark, d), SEEDS, 50, MIN_DF)
 
 
 GRAPH = f"""(WITH v AS (SELECT term, doc_count FROM {VOCAB} ORDER BY CASE WHEN term IN {_in(SEEDS)} THEN 0 ELSE 1 END, doc_count DESC, term LIMIT 300),

@@ -1,6 +1,7 @@
 """Operators on small tables: edge cases that the comparison with SQL over the test tables doesn't reach."""
 
 import datetime as dt
+import inspect
 import math
 import zipfile
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import boolean_query, graph
 from quillspark.functions import text as tx
 from quillspark.operators import clustering, coordination, image_match, keyword, links, status, temporal
+from quillspark.plans import keyword_queries
 from quillspark.plans.bundles import lexicon, temporal as temporal_bundle
 from quillspark.sources import api, sinks, tables, xlsx
 from quillspark.streaming import events as streaming
@@ -116,6 +118,24 @@ def test_discovery_runs_end_to_end(spark):
     assert keyword.cooccurrence(empty, ["a"]).count() == 0
 
 
+def test_semantic_is_registered_whole(monkeypatch):
+    got = []
+    monkeypatch.setattr(keyword_queries, "corpus", lambda spark, d: None)
+    monkeypatch.setattr(keyword, "_top", lambda df, n: None)
+    monkeypatch.setattr(keyword, "_candidates", lambda *args, **how: None)
+    monkeypatch.setattr(F, "format_string", lambda *args: None)
+    real = inspect.signature(keyword.semantic_scores)
+
+    def spied(*args, **how):
+        bound = real.bind(*args, **how)
+        bound.apply_defaults()
+        got.append((bound.arguments["max_vocab"], bound.arguments["dims"]))
+
+    monkeypatch.setattr(keyword, "semantic_scores", spied)
+    keyword_queries.kd_semantic(None, None)
+    assert got == [(10_000, 100)]
+
+
 def test_chain():
     chain = keyword.Chain.start(["One", "one", " two "])
     chain.rounds.append({"number": 1, "seeds": ["one"], "added": [], "excluded": [], "dismissed": [], "candidates": []})
