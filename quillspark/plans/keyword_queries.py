@@ -136,7 +136,7 @@ def kd_graph(spark, d):
 
 
 def _measures(spark, d):
-    nodes, edges = kd.cooccurrence_graph(corpus(spark, d), SEEDS, MIN_DF, 300)
+    nodes, edges = kd.cooccurrence_graph(corpus(spark, d), SEEDS, MIN_DF)
     return kd.graph_measures(nodes, edges, SEEDS)
 
 
@@ -157,7 +157,7 @@ def kd_communities(spark, d):
 
 @query()
 def kd_network(spark, d):
-    return kd.network(corpus(spark, d), SEEDS, 50, MIN_DF, max_nodes=300)
+    return kd.network(corpus(spark, d), SEEDS, 50, MIN_DF)
 
 
 def _words(spark, d):

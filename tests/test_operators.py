@@ -136,6 +136,24 @@ def test_semantic_is_registered_whole(monkeypatch):
     assert got == [(10_000, 100)]
 
 
+def test_graph_is_registered_whole(monkeypatch):
+    got = []
+    real = inspect.signature(keyword.cooccurrence_graph)
+
+    def spied(*args, **how):
+        bound = real.bind(*args, **how)
+        bound.apply_defaults()
+        got.append(bound.arguments["max_nodes"])
+        raise LookupError
+
+    monkeypatch.setattr(keyword_queries, "corpus", lambda spark, d: None)
+    monkeypatch.setattr(keyword, "cooccurrence_graph", spied)
+    for name in ("kd_pagerank", "kd_betweenness", "kd_communities", "kd_network"):
+        with pytest.raises(LookupError):
+            getattr(keyword_queries, name)(None, None)
+    assert got == [1000] * 4
+
+
 def test_chain():
     chain = keyword.Chain.start(["One", "one", " two "])
     chain.rounds.append({"number": 1, "seeds": ["one"], "added": [], "excluded": [], "dismissed": [], "candidates": []})
