@@ -116,10 +116,10 @@ def cooccurrence_scores(c: Corpus, seeds: list[str], min_df: int = 5, weights: t
     return t.select("term", "n_co", "doc_count", "pmi", "llr", (weights[0] * F.col("_p") + weights[1] * F.col("_l")).alias("score"))
 
 
-def evidence(c: Corpus, terms: DataFrame, within: DataFrame | None = None, most: int = 5, sample: int | None = 40, whole_word: bool = True) -> DataFrame:
+def evidence(c: Corpus, terms: DataFrame, within: DataFrame | None = None, most: int = 5, sample: int | None = None, whole_word: bool = True) -> DataFrame:
     """``term, evidence``: beginnings (300 characters) of the first documents that hold each term.
 
-    A term's first ``sample`` documents are looked at, so that frequent terms don't bring all their texts.
+    Only a term's first ``sample`` documents are looked at if that is given. Beginnings, not whole texts, are sorted.
     """
     p = c.postings.join(F.broadcast(terms.select("term")), "term")
     if within is not None:
@@ -130,9 +130,10 @@ def evidence(c: Corpus, terms: DataFrame, within: DataFrame | None = None, most:
     found = F.contains(F.lower("raw"), F.lower("term"))
     if whole_word:
         found = found & F.expr(r"regexp_like(raw, concat('(?iU)(?<!\\w)\\Q', term, '\\E(?!\\w)'))")
-    p = p.where(found).withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy("doc_id"))).where(F.col("_r") <= most)
     snippet = F.concat(F.trim(F.left("raw", F.lit(300))), F.when(F.length("raw") > 300, F.lit("...")).otherwise(F.lit("")))
-    got = p.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("_r", snippet.alias("s")))).alias("_l"))
+    p = p.where(found).select("term", "doc_id", snippet.alias("s"))
+    p = p.withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy("doc_id"))).where(F.col("_r") <= most)
+    got = p.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("_r", "s"))).alias("_l"))
     return got.select("term", F.transform("_l", lambda x: x["s"]).alias("evidence"))
 
 

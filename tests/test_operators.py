@@ -154,6 +154,13 @@ def test_graph_is_registered_whole(monkeypatch):
     assert got == [1000] * 4
 
 
+def test_evidence_is_looked_for_in_all_documents(spark):
+    texts = [f"a case of, anon {i}" for i in range(50)] + [f"Of anon {i}" for i in range(8)]
+    c = keyword.corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    got = keyword.evidence(c, spark.createDataFrame([("of anon",)], "term string")).collect()
+    assert [r["evidence"] for r in got] == [[f"Of anon {i}" for i in range(5)]]
+
+
 def test_chain():
     chain = keyword.Chain.start(["One", "one", " two "])
     chain.rounds.append({"number": 1, "seeds": ["one"], "added": [], "excluded": [], "dismissed": [], "candidates": []})
