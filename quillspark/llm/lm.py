@@ -10,7 +10,8 @@ window to window, so a document's log-likelihood covers all of it.
 
 Defined cases: a null or empty text is one end token; repeated rows get a row each and all count; without training
 documents every word is unseen and the score equals that of the counts; an empty table gives an empty table; extra
-columns are ignored.
+columns are ignored. Every task learns from its own splits of the input, so scores repeat exactly where the splits do; over other
+splits the averaged network, and with it the last digits of ``score``, differs. Texts are scored whole, however long.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import most_frequent, small_batches, spans, utf8, written
 from .words import word_hashes
 
 #: Network: words, classes, state. Known: words whose counts go to all executors; the rest are joined.
-VOCABULARY, CLASSES, STATE, KNOWN = 8192, 64, 16, 1 << 18
-SLOTS, WINDOW, TRAIN_SLOTS, TRAIN_WINDOW, RATE, FLUSH, BATCH_ROWS = 256, 64, 64, 32, 0.08, 2_000_000, 3000
+VOCABULARY, CLASSES, STATE, KNOWN, LOOK_BITS = 8192, 40, 16, 1 << 18, 20
+SLOTS, WINDOW, TRAIN_SLOTS, TRAIN_WINDOW, RATE, FLUSH, BATCH_ROWS = 256, 64, 128, 32, 0.2, 2_000_000, 3000
 #: Documents of the first sample, which gives all tasks one start.
 FIRST_DOCUMENTS, CHUNK = 600, 8192
 END = np.uint64(0x9D5F3C1B7A2E4680)
@@ -46,6 +47,7 @@ class Words:
     counts: np.ndarray  # of the vocabulary, by id
     total: int = 0
     distinct: int = 0
+    begins: np.ndarray | None = None  # made where it is used
 
     @property
     def tail(self) -> int:
@@ -62,9 +64,22 @@ class Words:
         """Of each hash: its place among the known words, and whether it is one."""
         if not len(self.hashes):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        if self.begins is None:  # by the upper bits of a hash: how many known hashes stand before those with the same bits
+            edges = np.arange(1 << LOOK_BITS, dtype=np.uint64) << np.uint64(64 - LOOK_BITS)
+            self.begins = np.searchsorted(self.hashes, edges).astype(np.int32)
+        at = self.begins[(h >> np.uint64(64 - LOOK_BITS)).astype(np.int64)].astype(np.int64)
+        last = len(self.hashes) - 1
+        todo = np.flatnonzero(self.hashes[np.minimum(at, last)] < h)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[at[todo] <= last]
+            todo = todo[self.hashes[at[todo]] < h[todo]]
+        at = np.minimum(at, last)
         return at, self.hashes[at] == h
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"begins": None}
+
 
 @dataclass
 class Net:
@@ -90,6 +105,14 @@ class Net:
         return Net(**out)
 
 
+def class_bounds(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Where classes of words (by falling count) begin: each has a like share of the square roots of counts, so frequent words stand in small classes."""
+    n = len(counts)
+    share = np.cumsum(np.sqrt(counts + 0.5))
+    cut = np.searchsorted(share, share[-1] * np.arange(1, classes) / classes, "right") if n else np.zeros(0, np.int64)
+    return np.unique(np.concatenate([[0], cut, [n]]).astype(np.int64))
+
+
 def fresh(words: Words, state: int = STATE) -> Net:
     rng = np.random.default_rng(7)
     n, c = words.tail + 1, len(words.bounds)
@@ -98,18 +121,42 @@ def fresh(words: Words, state: int = STATE) -> Net:
     return Net(small(n, 3 * state), small(state, 3 * state), small(c, state), np.log(mass / mass.sum()).astype(np.float32), small(n, state), np.append(np.log(words.counts + 0.5), 0).astype(np.float32))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _halved(x: np.ndarray, size: int) -> np.ndarray:
+    """A copy with what goes into the two gates halved: a sigmoid of x is half the tanh of x / 2, and a half."""
+    x = x.copy()
+    x[..., : 2 * size] *= 0.5
+    return x
+
+
+def _gates(a: np.ndarray, given: np.ndarray, size: int, out: np.ndarray | None = None) -> np.ndarray:
+    g = np.add(a[:, : 2 * size], given[:, : 2 * size], out=out)
+    np.tanh(g, out=g)
+    g *= 0.5
+    g += 0.5
+    return g
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - m), its sums over rows, and m: the largest of all, or of each row where that would lose a row's digits."""
+    m = x.max(initial=-np.inf)
+    e = np.exp(x - m)
+    sums = e @ np.ones(x.shape[1], x.dtype)
+    if len(x) and sums.min() < 1e-20:
+        m = x.max(1, keepdims=True)
+        e = np.exp(x - m)
+        sums = e @ np.ones(x.shape[1], x.dtype)
+        m = m[:, 0]
+    return e, sums, m
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    m = x.max(1, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(1, keepdims=True)))[:, 0]
+    _, sums, m = _exponentials(x)
+    return m + np.log(sums)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    e /= e.sum(1, keepdims=True)
+    e, sums, _ = _exponentials(x)
+    e /= sums[:, None]
     return e
 
 
@@ -166,24 +213,26 @@ def log_likelihoods(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray
     out = np.zeros(len(offsets) - 1)
     streams = Streams(ids, offsets, slots)
     size = net.gates.shape[0]
-    h = np.zeros((len(streams.loads), size), np.float32)
+    h, gates = np.zeros((len(streams.loads), size), np.float32), _halved(net.gates, size)
     for target, docs, begins, active in streams.windows(WINDOW):
         n, live = target.shape
         before = np.zeros((n, live, size), np.float32)
         h = h[:live]
-        given = net.words_in[target]
+        given, new_doc = _halved(net.words_in[target], size), begins.any(1)
         for t in range(n):
             k = active[t]
-            b = begins[t, :k]
             x = h[:k]
-            if b.any():
-                x[b] = 0
+            if new_doc[t]:
+                x[begins[t, :k]] = 0
             before[t, :k] = x
-            a = x @ net.gates
-            g = _sigmoid(a[:, : 2 * size] + given[t, :k, : 2 * size])
-            z = g[:, :size]
-            new = np.tanh(given[t, :k, 2 * size :] + g[:, size:] * a[:, 2 * size :])
-            h[:k] = new + z * (x - new)
+            a = x @ gates
+            g = _gates(a, given[t, :k], size)
+            new = g[:, size:] * a[:, 2 * size :]
+            new += given[t, :k, 2 * size :]
+            np.tanh(new, out=new)
+            x -= new
+            x *= g[:, :size]
+            x += new
         some = docs.ravel() >= 0
         x, y, d = before.reshape(-1, size)[some], target.ravel()[some], docs.ravel()[some]
         logit = x @ net.class_out.T + net.class_bias
@@ -207,19 +256,22 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
     for target, docs, begins, _ in streams.windows(TRAIN_WINDOW):
         n, live = target.shape
         h = h[:live]
-        given = net.words_in[target]
+        gates, given = _halved(net.gates, size), _halved(net.words_in[target], size)
         keep = (~begins)[:, :, None].astype(np.float32)
         real = (docs >= 0)
-        before, gate, new, rec = (np.zeros((n, live, m), np.float32) for m in (size, 2 * size, size, size))
+        before, gate, new, acts = (np.empty((n, live, m), np.float32) for m in (size, 2 * size, size, 3 * size))
+        rec = acts[:, :, 2 * size :]
         for t in range(n):
-            x = before[t] = h * keep[t]
-            a = x @ net.gates
-            g = gate[t]
-            g[:] = _sigmoid(a[:, : 2 * size] + given[t, :, : 2 * size])
-            rec[t] = a[:, 2 * size :]
-            y = new[t]
-            np.tanh(given[t, :, 2 * size :] + g[:, size:] * rec[t], out=y)
-            h = y + g[:, :size] * (x - y)
+            x, g, y = before[t], gate[t], new[t]
+            np.multiply(h, keep[t], out=x)
+            a = np.matmul(x, gates, out=acts[t])
+            _gates(a, given[t], size, g)
+            np.multiply(g[:, size:], a[:, 2 * size :], out=y)
+            y += given[t, :, 2 * size :]
+            np.tanh(y, out=y)
+            h = x - y
+            h *= g[:, :size]
+            h += y
         some = np.flatnonzero(real.ravel())
         kind = np.minimum(np.searchsorted(words.bounds, target.ravel()[some], "right") - 1, len(words.bounds) - 1)
         order = np.argsort(kind, kind="stable")  # a class's rows stand together
@@ -334,10 +386,9 @@ def known_words(counts: DataFrame, vocabulary: int = VOCABULARY, classes: int =
     if len(end) and end[0] >= in_net:  # the end token is always one of the network's words
         rank[end[0]], rank[in_net - 1] = in_net - 1, end[0]
     ids = np.where(rank < in_net, rank, in_net)
-    per = -(-in_net // classes) if in_net else 1
-    bounds = np.append(np.arange(0, in_net, per), in_net)
     by_id = np.zeros(in_net, np.int64)
     by_id[ids[ids < in_net]] = n[ids < in_net]
+    bounds = class_bounds(by_id, classes)
     order = np.argsort(h)
     return Words(h[order], np.log10(n[order] + 0.5), ids[order], bounds, by_id, int(total["n"] or 0), int(total["v"]))
 
@@ -369,7 +420,7 @@ def _trained(docs: DataFrame, sent, tasks: int | None) -> Net:
 
     rows = docs.select("text")
     if tasks:
-        rows = rows.repartition(tasks)
+        rows = docs.select("text", F.xxhash64("text").alias("h")).repartition(tasks).sortWithinPartitions("h", "text").select("text")  # in one order always
     got = rows.mapInArrow(run, "chunk int, tokens long, weights binary").groupBy("chunk").applyInPandas(mean, "chunk int, tokens long, weights binary").toPandas().sort_values("chunk")
     if not len(got):
         return start

@@ -87,6 +87,59 @@ def test_lm_gradients():
             assert abs((loss(a) - loss(b)) / 2e-2 - grad[at]) < 2e-3
 
 
+def plain_log10(net, w, ids):
+    """One document, a token at a time, in double precision."""
+    n = net.gates.shape[0]
+    h, total = np.zeros(n), 0.0
+    words_in, gates, class_out, word_out = (getattr(net, x).astype(np.float64) for x in ("words_in", "gates", "class_out", "word_out"))
+    for y in ids:
+        logit = class_out @ h + net.class_bias
+        c = next((k for k in range(len(w.bounds) - 1) if w.bounds[k] <= y < w.bounds[k + 1]), len(w.bounds) - 1)
+        total += logit[c] - math.log(sum(math.exp(x) for x in logit))
+        if c < len(w.bounds) - 1:
+            own = range(w.bounds[c], w.bounds[c + 1])
+            logits = {k: float(word_out[k] @ h + net.word_bias[k]) for k in own}
+            total += logits[y] - math.log(sum(math.exp(x) for x in logits.values()))
+        a = gates.T @ h
+        z, r = (1 / (1 + np.exp(-(a[k * n : (k + 1) * n] + words_in[y][k * n : (k + 1) * n]))) for k in (0, 1))
+        new = np.tanh(words_in[y][2 * n :] + r * a[2 * n :])
+        h = new + z * (h - new)
+    return total / math.log(10)
+
+
+def test_lm_scores_token_by_token():
+    w, net = net_of()
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 41, n) for n in (1, 3, 700, 64, 65, 2, 130)]
+    ids, off = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    lm.train(net, w, ids, off, slots=4)
+    want = [plain_log10(net, w, d) for d in docs]
+    for slots in (1, 3, 64):
+        assert np.allclose(lm.log_likelihoods(net, w, ids, off, slots=slots), want, rtol=1e-4, atol=1e-3)
+
+
+def test_lm_softmax_of_far_apart_rows():
+    x = np.array([[900.0, 899.0], [-900.0, -901.0], [0.0, 0.0]], np.float32)
+    assert np.allclose(lm._softmax(x)[:2, 0], 1 / (1 + math.exp(-1))) and np.allclose(lm._log_sum(x), [900 + math.log(1 + math.exp(-1)), -900 + math.log(1 + math.exp(-1)), math.log(2)])
+
+
+def test_lm_finds_known_words(monkeypatch):
+    monkeypatch.setattr(lm, "LOOK_BITS", 3)
+    rng = np.random.default_rng(2)
+    known = np.unique(np.append(rng.integers(0, 2**63, 50).astype(np.uint64) * np.uint64(2), np.array([0, 2**64 - 1], np.uint64)))
+    w = lm.Words(known, np.zeros(len(known)), np.arange(len(known)), np.array([0, 1]), np.ones(1))
+    asked = np.concatenate([known, known + np.uint64(1), rng.integers(0, 2**63, 50).astype(np.uint64)])
+    at, is_known = w.look(asked)
+    assert is_known.tolist() == [x in set(known.tolist()) for x in asked.tolist()] and (known[at[is_known]] == asked[is_known]).all()
+
+
+def test_lm_classes_follow_the_counts():
+    n = np.sort((10_000 / np.arange(1, 500)).astype(np.int64))[::-1]
+    b = lm.class_bounds(n, 20)
+    assert b[0] == 0 and b[-1] == len(n) and (np.diff(b) > 0).all() and b[1] < b[-1] - b[-2]
+    assert lm.class_bounds(n[:3], 20).tolist() == [0, 1, 2, 3] and lm.class_bounds(n[:0], 20).tolist() == [0]
+
+
 def test_lm_learns_from_every_training_document(spark, rng, monkeypatch):
     df = frame(spark, [(i, prose(rng, 12, 40)) for i in range(1400)])
     passes, real = [], lm._trained
