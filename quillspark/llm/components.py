@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
+def splittable(side: DataFrame) -> DataFrame:
+    """The aggregated side of a join, shuffled once more: only then may Spark split the other side's partition of a hot key."""
+    return side.hint("rebalance")
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """``u, v, m``: each neighbour v of u beside the least of u and its neighbours."""
     least = edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-    return edges.join(least, edges["u"] == least["w"]).select("u", "v", F.least("u", "m").alias("m"))
+    return edges.join(splittable(least), F.col("u") == F.col("w")).select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:

@@ -14,8 +14,9 @@ what is left of near copies; the second time all pairs that are still across cla
 comparison, so large groups of near copies cost few pairs.
 
 Defined cases: null or empty texts have the empty set and link with nothing; fewer words than a shingle make one shingle;
-repeated rows each get a row; rows that share a doc_id but not the text are nodes of their own; extra columns
-are ignored; an empty table gives an empty table.
+repeated rows each get a row; rows that share a doc_id but not the text are nodes of their own; very long texts are read whole, in
+pieces cut at white space; ties go to the smallest doc_id, and among rows of one doc_id to the smallest hash of the text; extra columns
+are ignored; an empty table gives an empty table. Shingles are compared by 64-bit hashes, so the result is exact up to their collisions.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, most_frequent, release, small_batches, spans, utf8, written
-from .components import components
+from .components import components, splittable
 from .words import mixed, shingles, word_hashes
 
 #: Shingles of at least so many documents among some million, and at most so many shingles, come last in the order.
@@ -108,12 +108,12 @@ def _described(words: int, num: int, den: int, late):
                 rare = s[~often]
                 prefixes.append((rare[:take] if len(rare) >= take else np.concatenate([rare, s[often][: take - len(rare)]])).view(np.int64))
             lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists(signs), pa.array(wides, pa.binary()), lists(prefixes)], names=["doc_id", "n", "key", "sign", "wide", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists(signs), pa.array(wides, pa.binary()), lists(prefixes)], names=SETS.names)
 
     return run
 
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("wide", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
 
 def frequent_cells(docs: DataFrame, words: int) -> np.ndarray:
@@ -264,12 +264,12 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     written tables that the result still reads, for the caller to discard.
     """
     with small_batches(docs.sparkSession):
-        return _classes(docs, words, num, den, tables)
+        return _classes(docs, words, num, den, tables).select("doc_id", "n_shingles", "component_id")
 
 
 def _classes(docs: DataFrame, words: int, num: int, den: int, tables: list[DataFrame] | None) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     late = spark.sparkContext.broadcast(frequent_cells(docs, words))
     release(spark)
     sets = written(docs.mapInArrow(_described(words, num, den, late), SETS), "sets")
@@ -277,13 +277,13 @@ def _classes(docs: DataFrame, words: int, num: int, den: int, tables: list[DataF
     classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *first)
     keyed_nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     nodes = written(keyed_nodes.drop("prefix"), "node-info")
-    rows = written(sets.select("doc_id", "n", "key"), "rows")
+    rows = written(sets.select("doc_id", "text_hash", "n", "key"), "rows")
     discard(sets)
 
     # nodes that share a key, and beside each the tile's least node
-    by_key = W.partitionBy("shingle")
-    keyed = keyed_nodes.select(F.explode("prefix").alias("shingle"), "node", "n").withColumn("count", F.count("*").over(by_key)).where("count > 1")
-    keyed = written(keyed.withColumn("least", F.min(F.struct("node", "n")).over(by_key)), "keyed")
+    every = keyed_nodes.select(F.explode("prefix").alias("shingle"), "node", "n")
+    shared = every.groupBy("shingle").agg(F.count("*").alias("count"), F.min(F.struct("node", "n")).alias("least")).where("count > 1")
+    keyed = written(every.join(splittable(shared), "shingle"), "keyed")
     discard(keyed_nodes)
     size_fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
     stars = keyed.where((F.col("node") != F.col("least.node")) & size_fits(F.col("n"), F.col("least.n"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -310,7 +310,8 @@ def _classes(docs: DataFrame, words: int, num: int, den: int, tables: list[DataF
     for nearest in (True, False):
         # tiles whose nodes are still of different classes
         told = keyed.select("shingle", "node", "n", "count").join(final, "node", "left").select("shingle", "node", "n", "count", F.coalesce("component", "node").alias("class"))
-        mixed_ = told.withColumn("lo", F.min("class").over(by_key)).withColumn("hi", F.max("class").over(by_key)).where("lo <> hi")
+        open_ = told.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("shingle")
+        mixed_ = told.join(splittable(open_), "shingle")
         parts = F.ceil(F.col("count") / TILE_ROWS).cast("int")
         mixed_ = mixed_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         mixed_ = mixed_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -329,25 +330,34 @@ def _classes(docs: DataFrame, words: int, num: int, den: int, tables: list[DataF
         tables += [nodes, rows, final]
     labelled = nodes.select("node", "key", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = labelled.join(least, "component").select("key", "component_id")
+    by_class = labelled.join(least, "component").select("key", "component", "component_id")
     out = rows.join(by_class, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "component", "text_hash")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows, as they are, of one document of each class: that with the smallest doc_id.
+    """The rows, as they are, of one document of each class: that with the smallest doc_id (a null id counts as largest).
 
-    Documents without words stay. Rows that repeat both a doc_id and its text are copies too, and one of them stays.
+    Documents without words stay. What stays or goes is a row, told by its doc_id and text: of rows that share a doc_id, one may go as
+    a copy while another, of a class of its own, stays. Rows that repeat both a doc_id and its text are copies too, and one of them stays.
     """
+    spark = docs.sparkSession
     tables: list[DataFrame] = []
-    classes = written(jaccard_classes(docs, words, num, den, tables), "classes")
+    with small_batches(spark):
+        classes = written(_classes(docs, words, num, den, tables).where("n_shingles > 0").select("doc_id", "text_hash", "component"), "classes")
     for t in tables:
         discard(t)
-    release(docs.sparkSession)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = written(classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    release(spark)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = classes.groupBy("component").agg(F.min(name).alias("first"))
+    apart = classes.join(splittable(first), "component").withColumn("stays", F.col("first") == name)
+    gone = apart.where(~F.col("stays")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    same = lambda d, i, h: d["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(d["text"]) == F.col(h))
+    kept = docs.join(gone, same(docs, "_gone_id", "_gone_hash"), "left_anti")
+    stays = apart.where("stays").groupBy(F.col("doc_id").alias("_again_id"), F.col("text_hash").alias("_again_hash")).agg(F.count("*").alias("_times"))
+    again = written(stays.where("_times > 1").select("_again_id", "_again_hash"), "repeated")
     if again.isEmpty():
         return kept
-    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    twice = kept.join(again, same(kept, "_again_id", "_again_hash"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same(kept, "_again_id", "_again_hash"), "left_anti").unionByName(twice)

@@ -102,6 +102,17 @@ def test_keep_one(spark, odd_rows):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 8, 10, 11, 12]
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark, rng):
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    near = a + " more"
+    rows = [(3, a), (8, a), (8, b), (9, c), (None, a), (None, c), (12, near), (12, near), (20, b), (20, b), (21, "alone " + c), (21, "alone " + c), (30, None), (30, None)]
+    kept = ngram_join.keep_one(frame(spark, rows)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in kept) == sorted([(3, a), (8, b), (9, c), (30, ""), (30, "")])
+    same_id = [(5, a), (5, near), (5, b)]
+    assert len(ngram_join.keep_one(frame(spark, same_id)).collect()) == 2
+    assert [r["doc_id"] for r in ngram_join.keep_one(frame(spark, [(None, a), (None, a)])).collect()] == [None]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
