@@ -9,10 +9,13 @@ So the scan looks up every q-gram of a document in the benchmark's index, drops
 of them, counts the rest in overlapping diagonal bands, and verifies the windows that reach the bound by banded
 alignment. No window that meets the definition is lost.
 
-Defined cases: null or empty texts hold no leak; items shorter than ``MIN_ITEM`` bytes are left out, as they are no
-evidence; repeated rows are judged each; extra columns pass through :func:`clean`; an empty benchmark or document table gives an
-empty report. Documents are scanned whole, in pieces that overlap. The benchmark goes to the executors in parts of
-``PART_BYTES`` at most, with a pass over the documents for each part.
+An item shorter than ``SHORT`` bytes shares too few q-grams for the bound to say anything; it counts as a leak where it stands as
+a whole, without edits, between white space or a text's ends, and is found by its first bytes.
+
+Defined cases: null or empty texts hold no leak and null or empty items are found nowhere; repeated rows are judged each; extra columns pass
+through :func:`clean`; an empty benchmark or document table gives an empty report. Documents are scanned whole, in pieces that overlap.
+The benchmark goes to the executors in parts of ``PART_BYTES`` at most, whose index takes some 25 bytes a byte, with a pass over
+the documents for each part; up to that size one pass does.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import types as T
 
 from .common import spans, utf8
 
-Q, WINDOW, STRIDE, BAND, MIN_ITEM = 8, 64, 8, 8, 32
-PART_BYTES, PIECE_BYTES, TABLE_BITS = 2 << 20, 1 << 18, 22
+Q, WINDOW, STRIDE, BAND, SHORT = 8, 64, 8, 8, 32
+PART_BYTES, PIECE_BYTES, TABLE_BITS = 12 << 20, 1 << 18, (22, 26)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -78,8 +81,9 @@ class Index:
     first: np.ndarray  # of each in the postings
     post_item: np.ndarray
     post_at: np.ndarray
-    table: np.ndarray
+    table: np.ndarray  # flags of the cells that hold a q-gram
     windows: list  # of each item: starts
+    short: dict  # by length: (first bytes as numbers, sorted; items; texts) of items below SHORT
 
 
 def _codes(text: np.ndarray) -> np.ndarray:
@@ -87,8 +91,8 @@ def _codes(text: np.ndarray) -> np.ndarray:
     return np.ndarray((max(n, 0),), "<u8", np.ascontiguousarray(text), 0, (1,)) if n > 0 else np.zeros(0, np.uint64)
 
 
-def _cell(codes: np.ndarray) -> np.ndarray:
-    return ((codes * _MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _cell(codes: np.ndarray, cells: int) -> np.ndarray:
+    return ((codes * _MIX) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
 def bound(length: int) -> tuple[int, int]:
@@ -98,27 +102,60 @@ def bound(length: int) -> tuple[int, int]:
 
 
 def index(items: list[tuple[object, bytes]]) -> Index | None:
-    texts = []
+    texts, short = [], {}
     for item, text in items:
         t, _ = normal(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         t = t[: len(t) - 1] if len(t) and t[-1] == 32 else t
-        if len(t) >= MIN_ITEM:
+        if len(t) >= SHORT:
             texts.append((item, t))
-    if not texts:
+        elif len(t):
+            short.setdefault(len(t), []).append((_first_bytes(t, len(t))[0], item, t))
+    for n, own in short.items():
+        own.sort(key=lambda x: (int(x[0]), x[2].tobytes()))
+        short[n] = np.array([x[0] for x in own], np.uint64), [x[1] for x in own], [x[2] for x in own]
+    if not texts and not short:
         return None
-    start = np.concatenate([[0], np.cumsum([len(t) for _, t in texts])])
-    codes = np.concatenate([_codes(t) for _, t in texts])
-    item = np.concatenate([np.full(len(t) - Q + 1, i, np.int32) for i, (_, t) in enumerate(texts)])
-    at = np.concatenate([np.arange(len(t) - Q + 1, dtype=np.int32) for _, t in texts])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    start = np.concatenate([[0], np.cumsum([len(t) for _, t in texts], dtype=np.int64)])
+    codes = join([_codes(t) for _, t in texts], np.uint64)
+    item = join([np.full(len(t) - Q + 1, i, np.int32) for i, (_, t) in enumerate(texts)], np.int32)
+    at = join([np.arange(len(t) - Q + 1, dtype=np.int32) for _, t in texts], np.int32)
     order = np.argsort(codes, kind="stable")
     distinct, first = np.unique(codes[order], return_index=True)
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[_cell(distinct)] = True
+    low, high = TABLE_BITS
+    table = np.zeros(1 << min(high, max(low, (8 * len(distinct)).bit_length())), bool)
+    table[_cell(distinct, len(table))] = True
     windows = []
     for _, t in texts:
         last = max(0, len(t) - WINDOW)
         windows.append(np.unique(np.append(np.arange(0, last + 1, STRIDE), last)))
-    return Index([i for i, _ in texts], np.concatenate([t for _, t in texts]), start, distinct, np.append(first, len(order)), item[order], at[order], table, windows)
+    return Index([i for i, _ in texts], join([t for _, t in texts], np.uint8), start, distinct, np.append(first, len(order)).astype(np.int32), item[order], at[order], table, windows, short)
+
+
+def _first_bytes(text: np.ndarray, n: int) -> np.ndarray:
+    """At each place the next bytes, n or eight, as one number; beyond the end they are zero."""
+    codes = _codes(np.concatenate([text, np.zeros(Q - 1, np.uint8)]))
+    return codes if n >= Q else codes & np.uint64((1 << 8 * n) - 1)
+
+
+def scan_short(ix: Index, doc: np.ndarray, offsets: np.ndarray):
+    """(row, item of ``short``, start, end) of the short items that stand in comparable rows."""
+    found = []
+    inner = np.zeros(len(doc) + 1, bool)
+    inner[offsets] = True
+    for n, (codes, _, texts) in ix.short.items():
+        if len(doc) < n:
+            continue
+        own = _first_bytes(doc, n)[: len(doc) - n + 1]
+        begins = np.flatnonzero(np.concatenate([[True], doc[:-1] == 32])[: len(own)] | inner[: len(own)])
+        after = begins + n
+        begins = begins[inner[after] | (doc[np.minimum(after, len(doc) - 1)] == 32)]
+        lo, hi = np.searchsorted(codes, own[begins]), np.searchsorted(codes, own[begins], "right")
+        for p, a, b in zip(begins[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            r = int(np.searchsorted(offsets, p, "right")) - 1
+            if p + n <= offsets[r + 1]:
+                found += [(r, (n, k), p, p + n) for k in range(a, b) if np.array_equal(doc[p : p + n], texts[k])]
+    return found
 
 
 def _align(ix: Index, doc: np.ndarray, item: np.ndarray, a: np.ndarray, length: int, diagonal: np.ndarray):
@@ -147,7 +184,7 @@ def scan(ix: Index, doc: np.ndarray, offsets: np.ndarray):
     """(row, item, window's start in the item, edits, start, end) of the leaks in comparable rows; places are in ``doc``."""
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
     codes = _codes(doc)
-    hits = np.flatnonzero(ix.table[_cell(codes)]) if len(codes) else np.zeros(0, np.int64)
+    hits = np.flatnonzero(ix.table[_cell(codes, len(ix.table))]) if len(codes) and len(ix.codes) else np.zeros(0, np.int64)
     if not len(hits):
         return none
     row = np.searchsorted(offsets, hits, "right") - 1
@@ -212,13 +249,17 @@ def _pieces(offsets: np.ndarray):
 
 
 def _batch(ix: Index, text) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, least edits) of each leaked region of a batch, in characters of the text as it stands."""
+    """(row, item's id, start, end, least edits) of each leaked region of a batch, in characters of the text as it stands."""
     raw, raw_at = utf8(text)
     out = []
     for first_row, end_row in spans(raw_at, 1 << 22):
         part, at = raw[raw_at[first_row] : raw_at[end_row]], raw_at[first_row : end_row + 1] - raw_at[first_row]
         doc, offsets = normal(part, at)
         found = []
+        for x, (n, k), s, t in scan_short(ix, doc, offsets) if ix.short else ():
+            own = part[at[x] : at[x + 1]]
+            lo, hi = raw_places(own, np.array([s, t - 1]) - offsets[x])
+            out.append((first_row + x, ix.short[n][1][k], _chars(own, lo), _chars(own, hi + 1), 0))
         for first, end, lo, hi in _pieces(offsets):
             here = np.clip(offsets[first : end + 1], lo, hi) - lo
             r, *rest, s, t = scan(ix, doc[lo:hi], here)
@@ -240,11 +281,15 @@ def _batch(ix: Index, text) -> list[tuple[int, int, int, int, int]]:
                         regions.append([a, b, e])
                 for a, b, e in regions:
                     lo, hi = raw_places(own, np.array([a, b - 1]) - offsets[x])
-                    chars = lambda n: int(((own[:n] & 0xC0) != 0x80).sum())
-                    out.append((first_row + int(x), int(i), chars(lo), chars(min(hi + 1, len(own))), int(e)))
+                    out.append((first_row + int(x), ix.items[int(i)], _chars(own, lo), _chars(own, min(hi + 1, len(own))), int(e)))
     return out
 
 
+def _chars(raw: np.ndarray, n: int) -> int:
+    """Characters in the first n bytes."""
+    return int(((raw[:n] & 0xC0) != 0x80).sum())
+
+
 def _parts(benchmark: DataFrame) -> Iterator[Index]:
     part, size = [], 0
     for r in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
@@ -277,7 +322,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 found = _batch(sent.value, batch.column("text"))
                 ids = batch.column("doc_id").to_pylist() if found else []
-                cols = [[ids[r] for r, *_ in found], [sent.value.items[i] for _, i, *_ in found], [x[2] for x in found], [x[3] for x in found], [x[4] for x in found]]
+                cols = [[ids[r] for r, *_ in found], [i for _, i, *_ in found], [x[2] for x in found], [x[3] for x in found], [x[4] for x in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()], strict=True)], names=LEAKS.names)
 
         out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(report, LEAKS))

@@ -11,7 +11,8 @@ from .common import written
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column | None, most_rows: int) -> DataFrame:
     """``text, y`` of labelled documents, some ``most_rows`` at most, chosen by a hash of doc_id.
 
-    A doc_id with several labels has that of their majority; null labels don't count. ``may_learn`` is a condition on doc_id.
+    A doc_id with several labels has that of their majority; null labels don't count; one with several texts gives its least one.
+    ``may_learn`` is a condition on doc_id.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if may_learn is not None:
@@ -21,4 +22,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: C
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.where(place < share).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return written(rows.select(F.coalesce("text", F.lit("")).alias("text"), "y"), "labelled")
+    return written(rows.groupBy("_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y")).select("text", "y"), "labelled")

@@ -3,10 +3,11 @@
 A flat token file is a run of token ids in which an end-of-document id follows each document, and nothing says where
 documents begin. It is kept in blocks of equal size: a table ``file_id, block, tokens`` (little-endian unsigned integers).
 Each block is searched for the end id with one vectorised comparison; a prefix scan over the blocks' summaries (one
-row per block: its length, how many ends it holds and the last of them) stitches documents that cross blocks.
+row per block: its length, how many ends it holds and the last of them) stitches documents that cross blocks. The scan has two
+levels, runs of ``RUN_BLOCKS`` blocks and then the runs of a file, and carries summaries only.
 
 Defined cases: a null or empty text is a document of no tokens; tokens after a file's last end id are a document that
-isn't ended (``ended`` false); blocks may come in any order; an empty table gives an empty table; the text of a special token inside a
+isn't ended (``ended`` false); blocks may come in any order, and each number once in a file; a vocabulary file that isn't there is a FileNotFoundError; an empty table gives an empty table; the text of a special token inside a
 document is ordinary text, so the end id stands at ends only; extra columns are ignored; repeated rows are documents of their own.
 """
 
@@ -22,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: The public vocabulary's pre-tokenising pattern (a fixed value) and its free id.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY, END_ID = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 BLOCK_TOKENS, DTYPE, LONG_TEXT = 1 << 16, "<u2", 1 << 20
+#: Blocks whose summaries are scanned by one task; the runs' own summaries are scanned next.
+RUN_BLOCKS = 4096
 _encoders: dict[int, object] = {}
 
 
@@ -109,13 +114,22 @@ def scan(blocks: DataFrame, end_id: int = END_ID, dtype: str = DTYPE) -> DataFra
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ends)]), pa.int32()), pa.array(np.concatenate(ends) if ends else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("block"), pa.array(sizes, pa.int64()), lists], names=["file_id", "block", "size", "ends"])
 
-    found = blocks.where(F.col("tokens").isNotNull()).select("file_id", "block", "tokens").mapInArrow(run, "file_id long, block long, size long, ends array<long>")
-    order = W.partitionBy("file_id").orderBy("block")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
+    found = written(blocks.where(F.col("tokens").isNotNull()).select("file_id", "block", "tokens").mapInArrow(run, "file_id long, block long, size long, ends array<long>"), "token-ends")
     none = F.lit(0).cast("long")
-    placed = found.withColumn("offset", F.coalesce(F.sum("size").over(before), none)).withColumn("count", F.size("ends").cast("long"))
-    placed = placed.withColumn("last_end", F.when(F.col("count") > 0, F.col("offset") + F.element_at("ends", -1)))
-    placed = placed.withColumn("done", F.coalesce(F.sum("count").over(before), none)).withColumn("open", F.coalesce(F.max("last_end").over(before) + 1, none)).withColumn("is_last", F.lead("block").over(order).isNull())
+    run_of = F.floor(F.col("block") / RUN_BLOCKS)
+    light = found.select("file_id", "block", run_of.alias("run"), "size", F.size("ends").cast("long").alias("count"), F.get("ends", F.size("ends") - 1).alias("last"))
+    before = W.partitionBy("file_id", "run").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    light = light.withColumn("in_run", F.coalesce(F.sum("size").over(before), none)).withColumn("done_in_run", F.coalesce(F.sum("count").over(before), none))
+    light = light.withColumn("open_in_run", F.max(F.col("in_run") + F.col("last")).over(before))
+    runs = light.groupBy("file_id", "run").agg(F.sum("size").alias("r_size"), F.sum("count").alias("r_count"), F.max(F.col("in_run") + F.col("last")).alias("r_last"), F.max("block").alias("r_block"))
+    earlier = W.partitionBy("file_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("r_offset", F.coalesce(F.sum("r_size").over(earlier), none)).withColumn("r_done", F.coalesce(F.sum("r_count").over(earlier), none))
+    runs = runs.withColumn("r_open", F.max(F.col("r_offset") + F.col("r_last")).over(earlier)).withColumn("end_block", F.max("r_block").over(W.partitionBy("file_id")))
+    stitched = light.join(runs, ["file_id", "run"]).select(
+        "file_id", "block", (F.col("r_offset") + F.col("in_run")).alias("offset"), (F.col("r_done") + F.col("done_in_run")).alias("done"),
+        F.coalesce(F.col("r_offset") + F.col("open_in_run") + 1, F.col("r_open") + 1, none).alias("open"), (F.col("block") == F.col("end_block")).alias("is_last"),
+    )
+    placed = found.join(stitched, ["file_id", "block"]).withColumn("count", F.size("ends").cast("long"))
     ends = F.transform("ends", lambda x: x + F.col("offset"))
     starts = F.concat(F.array("open"), F.transform("all_ends", lambda x: x + 1))
     tail = F.col("is_last") & (F.element_at("starts", -1) < F.col("offset") + F.col("size"))

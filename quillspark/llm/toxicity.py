@@ -2,12 +2,13 @@
 
 A feature is whether a text holds an n-gram (3 to 5 characters, lower case, everything but letters and digits a space).
 Its scale is the log of how much more often toxic texts hold it than others; a logistic regression with an L2 penalty
-weighs the scaled features. N-grams are hashed into 2**CELL_BITS cells, of which the ``FEATURES`` that differ most
-significantly between the classes take part.
+weighs the scaled features. N-grams are hashed into 2**CELL_BITS cells. A cell takes part if the shares of texts that hold it differ
+between the classes by more than sqrt(2 ln m) standard errors, m being the number of cells seen: about the largest difference
+that chance alone would show among so many. There is no limit on how many pass.
 
 Defined cases: a null or empty text has no n-gram and gets the score of the intercept; repeated rows get a row
 each; without labels to learn from every score is 0; an empty table gives an empty table; extra columns are ignored, or
-pass through :func:`keep_clean`. At most ``SAMPLE_ROWS`` labelled rows are learnt from. Texts are read whole, in blocks.
+pass through :func:`keep_clean`. At most ``SAMPLE_ROWS`` labelled rows are learnt from, one for each doc_id. Texts are read whole, in blocks.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, spans, written
 from .labelled import labelled_sample
 
-SAMPLE_ROWS, FEATURES, CELL_BITS, ORDERS, SMOOTH, PENALTY, STEPS, THRESHOLD = 20_000, 2048, 20, (3, 4, 5), 1.0, 2.0, 300, 0.5
+SAMPLE_ROWS, CELL_BITS, ORDERS, SMOOTH, PENALTY, STEPS, THRESHOLD = 30_000, 20, (3, 4, 5), 1.0, 2.0, 300, 0.5
+#: The fit ends when so many steps lower the loss by less than this share; its sums go over so many cells of rows at once.
+PATIENCE, LEAST_GAIN, PART = 10, 1e-5, 1 << 21
 BLOCK_CHARS = 1 << 18
 _TO_SPACE = np.arange(128, dtype=np.uint32)
 _TO_SPACE[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -103,24 +107,47 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on features scaled by ``ratio``, by accelerated gradient steps with restarts."""
-    n, m = len(y), len(ratio)
-    value = ratio[feature]
-    curve = 0.25 * max(1.0, float(np.bincount(row, value * value, n).max(initial=0))) * n / 4 + penalty
-    w, b = np.zeros(m), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+class _Rows:
+    """Texts as runs of features; products with weights go part by part, so that temporary arrays stay small."""
+
+    def __init__(self, offsets: np.ndarray, feature: np.ndarray, ratio: np.ndarray):
+        self.n, self.m, self.feature, self.ratio = len(offsets) - 1, len(ratio), feature, ratio
+        self.parts = [(lo, hi, offsets[lo], offsets[hi], np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(offsets[lo : hi + 1]))) for lo, hi in spans(offsets, PART)]
+
+    def times(self, weight: np.ndarray) -> np.ndarray:
+        """Of each text the sum of its scaled features' weights."""
+        own = weight * self.ratio
+        return np.concatenate([np.bincount(row, own[self.feature[a:b]], hi - lo) for lo, hi, a, b, row in self.parts] or [np.zeros(0)])
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        """Of each feature the sum of its texts' ``d``, scaled."""
+        return self.ratio * sum((np.bincount(self.feature[a:b], d[lo:hi][row], self.m) for lo, hi, a, b, row in self.parts), np.zeros(self.m))
+
+    def longest(self) -> float:
+        square = self.ratio**2
+        return max((float(np.bincount(row, square[self.feature[a:b]], hi - lo).max(initial=0)) for lo, hi, a, b, row in self.parts), default=0.0)
+
+
+def _fit(x: _Rows, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic regression on scaled features, by accelerated gradient steps with restarts."""
+    n = len(y)
+    curve = 0.25 * max(1.0, x.longest()) * n / 4 + penalty
+    w, b = np.zeros(x.m), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     at_w, at_b, t = w.copy(), b, 1.0
-    rate, last = 16 / curve, np.inf
+    rate, last, losses = 16 / curve, np.inf, []
     for _ in range(steps):
-        z = np.bincount(row, value * at_w[feature], n) + at_b
+        z = x.times(at_w) + at_b
         loss = float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * penalty * (at_w @ at_w))
         if loss > last * (1 + 1e-9):
             rate, t, at_w, at_b = rate / 2, 1.0, w.copy(), b
             last = np.inf
             continue
         last = loss
+        losses.append(loss)
+        if len(losses) > PATIENCE and losses[-1 - PATIENCE] - loss < LEAST_GAIN * loss:
+            break
         d = 1 / (1 + np.exp(-z)) - y
-        new_w = at_w - rate * (np.bincount(feature, value * d[row], m) + penalty * at_w)
+        new_w = at_w - rate * (x.back(d) + penalty * at_w)
         new_b = at_b - min(4.0 / n, 100 * rate) * float(d.sum())
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         at_w, at_b = new_w + (t - 1) / s * (new_w - w), new_b + (t - 1) / s * (new_b - b)
@@ -149,14 +176,16 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     clean_n, toxic_n = totals.get(0, 0), totals.get(1, 0)
     if not clean_n or not toxic_n:
         return None
-    # a cell takes part if its share of toxic texts differs by a few standard errors
-    counted = sample.mapInArrow(count, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= 4)
+    # all cells seen, 2**CELL_BITS at most
+    counted = sample.mapInArrow(count, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = written(counted, "toxic-cells")
+    seen = counted.count()
     share = (F.col("clean") + F.col("toxic")) / float(clean_n + toxic_n)
     error = F.sqrt(share * (1 - share) * (1.0 / clean_n + 1.0 / toxic_n)) + 1e-9
     z = F.abs(F.col("toxic") / float(toxic_n) - F.col("clean") / float(clean_n)) / error
-    top = counted.withColumn("z", z).orderBy(F.desc("z"), "cell").limit(FEATURES).toPandas()
-    chosen = np.sort(top["cell"].to_numpy(np.int64))
-    top = top.set_index("cell").loc[chosen]
+    top = counted.where(z > float(np.sqrt(2 * np.log(max(seen, 2))))).toPandas().sort_values("cell")
+    discard(counted)
+    chosen = top["cell"].to_numpy(np.int64)
     wanted = np.zeros(size, bool)
     wanted[chosen] = True
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -170,12 +199,14 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
 
     rows = sample.mapInArrow(find, "y int, cells binary").toPandas().sort_values(["cells", "y"], kind="stable")
     y = rows["y"].to_numpy(np.float64)
-    held = [np.frombuffer(x, np.int32) for x in rows["cells"]]
-    row = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
-    feature = np.searchsorted(chosen, np.concatenate(held)).astype(np.int32) if held else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows["cells"]])])
+    place = np.zeros(size, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    feature = place[np.frombuffer(b"".join(rows["cells"]), np.int32)]
+    discard(sample)
     p, q = top["toxic"].to_numpy(np.float64) + SMOOTH, top["clean"].to_numpy(np.float64) + SMOOTH
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    w, b = _fit(row, feature, y, ratio, PENALTY, STEPS)
+    w, b = _fit(_Rows(offsets, feature, ratio), y, PENALTY, STEPS)
     weight = np.zeros(size)
     weight[chosen] = w * ratio
     return Model(wanted, weight, b)

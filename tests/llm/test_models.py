@@ -176,6 +176,44 @@ def test_quality(spark, rng, odd_rows):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
+def plain_features(t):
+    """The classifier's features by plain Python."""
+    raw = (t or "").encode()
+    if not raw:
+        return [0.0] * len(quality.FEATURES)
+    n = len(raw)
+    share = [raw.count(bytes([c])) / n for c in range(256)]
+    out = [math.log1p(n)] + [sum(share[c] for c in own) for own in quality._CLASSES.values()]
+    out.append(-sum(x * math.log2(x) for x in share if x))
+    w = raw.lower().split()
+    out.append(math.log1p(len(w)))
+    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    most = lambda x: max(Counter(x).values()) / len(x)
+    out += [math.log(n / len(w)), len(set(w)) / len(w), most(w), sum(a == b for a, b in zip(w, w[1:])) / (len(w) - 1) if len(w) > 1 else 0] if w else [0.0] * 4
+    out += [1 - len(set(tri)) / len(tri) if tri else 0.0, 1 - len(set(lines)) / len(lines) if lines else 0.0, most(tri) if tri else 0.0]
+    return out
+
+
+def test_quality_scores_are_sums_of_bins(spark, rng, odd_rows):
+    from bisect import bisect_right
+
+    rows = [(i, prose(rng, rng.randrange(1, 90)) if i % 3 else " | ".join(prose(rng, 30).split())) for i in range(1, 400)]
+    df = frame(spark, rows)
+    model = quality.learn(df, spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(1, 400)], "doc_id long, quality int"))
+    assert len(model.pairs) == quality.PAIRS and sum(abs(t).max() > 0 for t in model.tables) > 3
+    every = [*((1000 + k, t) for k, (_, t) in enumerate(odd_rows)), *rows]
+    got = {r["doc_id"]: r["score"] for r in quality.score(frame(spark, every), model).collect()}
+    for i, t in every:
+        b = [bisect_right(e.tolist(), x) for e, x in zip(model.edges, plain_features(t))]
+        z = model.base + sum(m[k] for m, k in zip(model.tables, b)) + sum(m[model.coarse[x][b[x]], model.coarse[y][b[y]]] for (x, y), m in zip(model.pairs, model.pair_tables))
+        near = [abs(x - e).min() if len(e) else 1 for x, e in zip(plain_features(t), model.edges)]
+        assert min(near) < 1e-9 or abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+    assert [r["score"] for r in quality.score(frame(spark, rows).repartition(7), model).orderBy("doc_id").collect()] == [got[i] for i, _ in rows]
+    again = quality.learn(df.repartition(5), spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(1, 400)], "doc_id long, quality int"))
+    assert all(np.array_equal(a, b) for a, b in zip(model.tables, again.tables))
+
+
 def test_gam_finds_interactions():
     rng = np.random.default_rng(3)
     x = rng.random((4000, 3))
@@ -211,6 +249,56 @@ def test_toxicity(spark, rng, odd_rows):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
+def plain_cells(t):
+    """Cells of a text's n-grams by plain Python integers."""
+    t = f" {(t or '').lower()} "
+    codes = [ord(" ") if ord(c) < 128 and not c.isalnum() else ord(c) for c in t]
+    out = set()
+    for i in range(len(codes)):
+        h = 0
+        for n, c in enumerate(codes[i : i + max(toxicity.ORDERS)], 1):
+            h = (h + c) * int(toxicity._MULTIPLY[n - 1]) % 2**64
+            h ^= h >> 29
+            if n in toxicity.ORDERS:
+                out.add(h * int(toxicity._LAST) % 2**64 >> 64 - toxicity.CELL_BITS)
+    return out
+
+
+def test_toxicity_by_plain_sums(spark, rng, odd_rows):
+    rows = [(i, prose(rng, rng.randrange(4, 30)) + (" grumpfel" if i % 4 == 0 else "") + (" snarkolo" if i % 8 == 0 else "")) for i in range(1, 401)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1, 401)], "doc_id long, toxic int")
+    model = toxicity.learn(frame(spark, rows), labels)
+    sets = [plain_cells(t) for _, t in rows]
+    count = [Counter(), Counter()]
+    for (i, _), s in zip(rows, sets):
+        count[int(i % 4 == 0)].update(s)
+    n = [300, 100]
+    seen = set(count[0]) | set(count[1])
+    limit, chosen = math.sqrt(2 * math.log(len(seen))), {}
+    for c in seen:
+        share = (count[0][c] + count[1][c]) / 400
+        z = abs(count[1][c] / n[1] - count[0][c] / n[0]) / (math.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1])) + 1e-9)
+        if z > limit:
+            chosen[c] = (count[1][c] + 1, count[0][c] + 1)
+    assert set(np.flatnonzero(model.wanted).tolist()) == set(chosen)
+    p, q = (sum(x[k] for x in chosen.values()) for k in (0, 1))
+    ratio = {c: math.log(a / p / (b / q)) for c, (a, b) in chosen.items()}
+    z = [model.intercept + sum(model.weight[c] for c in s & set(chosen)) for s in sets]
+    prob = [1 / (1 + math.exp(-x)) for x in z]
+    loss = sum(math.log1p(math.exp(x)) - x * (i % 4 == 0) for x, (i, _) in zip(z, rows)) + toxicity.PENALTY / 2 * sum((model.weight[c] / r) ** 2 for c, r in ratio.items() if r)
+    slope = [sum((pr - (i % 4 == 0)) * ratio[c] for pr, s, (i, _) in zip(prob, sets, rows) if c in s) + toxicity.PENALTY * model.weight[c] / ratio[c] for c in chosen if ratio[c]]
+    assert max(map(abs, slope)) < 0.05 * loss  # near the least penalised loss
+    every = [*rows, *((1000 + k, t) for k, (_, t) in enumerate(odd_rows) if len(t or "") < 1000)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, every), model).collect()}
+    for i, t in every:
+        want = model.intercept + sum(model.weight[c] for c in plain_cells(t) & set(chosen))
+        assert abs(got[i] - 1 / (1 + math.exp(-want))) < 1e-9
+    again = toxicity.learn(frame(spark, rows).repartition(5), labels)
+    assert np.array_equal(model.wanted, again.wanted) and np.allclose(model.weight, again.weight, atol=1e-9)
+    twice = toxicity.learn(frame(spark, [*rows, *rows, (4, "z" * 50)]), labels)  # a text for each doc_id
+    assert np.array_equal(model.wanted, twice.wanted)
+
+
 def test_ngrams_of_parts(monkeypatch):
     texts = ["Ab cd-EF", None, "", "hello hello", "x" * 50 + "yz"]
     whole = toxicity.cells(texts)
@@ -229,7 +317,7 @@ def test_ngrams_of_parts(monkeypatch):
 
 @pytest.mark.parametrize("block", [1, 3, 16, 1000])
 def test_separator_scan(spark, rng, odd_rows, block):
-    rows = [r for r in odd_rows if r[0] not in (6, 7, 11)] + [(100 + i, prose(rng, rng.randrange(0, 12))) for i in range(60)]
+    rows = [*odd_rows, *((200 + i, r[1]) for i, r in enumerate(odd_rows) if i < 3)] + [(100 + i, prose(rng, rng.randrange(0, 12))) for i in range(60)]
     encode = lambda t: [len(w) % 9 for w in t.split()]
     files = token_counts.token_files(frame(spark, rows).repartition(3), encode, 9, block_tokens=block)
     files = files.cache()
@@ -243,7 +331,47 @@ def test_separator_scan(spark, rng, odd_rows, block):
         assert part[-1] == 9 and 9 not in part[:-1]
 
 
-def test_scan_of_unended_file(spark):
+def test_scan_of_unended_file(spark, monkeypatch):
+    for run_blocks in (1, 2, 4096):
+        monkeypatch.setattr(token_counts, "RUN_BLOCKS", run_blocks)
+        check_unended(spark)
+    rng = np.random.default_rng(6)
+    flat = {f: rng.integers(0, 9, 200) for f in range(3)}
+    rows = [(f, k, bytearray(x[k * 7 : k * 7 + 7].astype("<u2").tobytes())) for f, x in flat.items() for k in range(-(-len(x) // 7))]
+    monkeypatch.setattr(token_counts, "RUN_BLOCKS", 3)
+    got = sorted(tuple(r) for r in token_counts.scan(spark.createDataFrame(rows, "file_id long, block long, tokens binary"), 7).collect())
+    want = []
+    for f, x in flat.items():
+        ends = [-1, *np.flatnonzero(x == 7).tolist()]
+        want += [(f, k, a + 1, b - a - 1, True) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+        if ends[-1] + 1 < len(x):
+            want.append((f, len(ends) - 1, ends[-1] + 1, len(x) - ends[-1] - 1, False))
+    assert got == want
+
+
+def test_empty_token_files(spark):
+    files = token_counts.token_files(frame(spark, []), lambda t: [1], 9)
+    assert token_counts.named(token_counts.scan(files, 9), files).count() == 0
+
+
+def test_token_counts_with_the_real_vocabulary(spark, odd_rows, rng):
+    import base64
+    import os
+
+    if not os.path.exists(token_counts.VOCABULARY):
+        pytest.skip("no vocabulary here")
+    import tiktoken
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [*(r for r in odd_rows if r[0] != 11), *((100 + i, prose(rng, i)) for i in range(30))]
+    files = token_counts.token_files(frame(spark, rows), token_counts.bpe_encoder(spark)).cache()
+    got = token_counts.named(token_counts.scan(files), files).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in got) == sorted((-1 if i is None else i, len(plain.encode_ordinary(t or ""))) for i, t in rows)
+
+
+def check_unended(spark):
     blocks = spark.createDataFrame([(5, 1, bytearray(np.array([7, 1, 2], "<u2").tobytes())), (5, 0, bytearray(np.array([1, 7, 7, 3], "<u2").tobytes())), (6, 0, bytearray(b""))], "file_id long, block long, tokens binary")
     got = sorted(tuple(r) for r in token_counts.scan(blocks, 7).collect())
     assert got == [(5, 0, 0, 1, True), (5, 1, 2, 0, True), (5, 2, 3, 1, True), (5, 3, 5, 2, False)]

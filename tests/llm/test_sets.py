@@ -134,7 +134,9 @@ def plain_leaks(rows, items):
         d = np.frombuffer(norm(t), np.uint8)
         for j, b in items:
             x = norm(b)
-            if len(x) < decontaminate.MIN_ITEM:
+            if len(x) < decontaminate.SHORT:
+                if x and b" " + x + b" " in b" " + d.tobytes() + b" ":
+                    out.add((i, j))
                 continue
             size = min(len(x), decontaminate.WINDOW)
             last = len(x) - size
@@ -185,6 +187,33 @@ def test_leak_spans_and_odd_rows(spark, odd_rows, rng):
     assert decontaminate.clean(frame(spark, rows), items).columns == frame(spark, rows).columns
 
 
+def test_short_items_count_as_a_whole(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "the  Answer is 42"), (3, ""), (4, "answer"), (5, "\u00e9t\u00e9 x")], "item_id long, text string")
+    rows = [(1, "oh yes"), (2, "yes, no"), (3, "so the answer\nIS 42 indeed"), (4, "the answer is 421"), (5, "yesyes"), (6, "yes"), (7, None), (8, "l'\u00e9t\u00e9 x"), (9, "un \u00e9t\u00e9 x"), (10, "a yes"), (11, "yes b")]
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["edits"]) for r in decontaminate.leaks(frame(spark, rows), items).collect()}
+    assert got == {(1, 1): (3, 6, 0), (3, 2): (3, 19, 0), (3, 4): (7, 13, 0), (4, 4): (4, 10, 0), (6, 1): (0, 3, 0), (9, 5): (3, 8, 0), (10, 1): (2, 5, 0), (11, 1): (0, 3, 0)}
+    assert {r["doc_id"] for r in decontaminate.clean(frame(spark, rows), items).collect()} == {2, 5, 7, 8}
+
+
+def test_large_benchmark_is_one_pass(rng):
+    class Table:
+        def select(self, *_):
+            return self
+
+        def toLocalIterator(self):
+            return ({"item_id": i, "text": text} for i in range(1000))
+
+    text = prose(rng, 1800)
+    assert 10_000_000 < 1000 * len(text) < decontaminate.PART_BYTES
+    asked = []
+    real, decontaminate.index = decontaminate.index, lambda part: asked.append(len(part))
+    try:
+        list(decontaminate._parts(Table()))
+    finally:
+        decontaminate.index = real
+    assert asked == [1000]
+
+
 # chat
 
 
