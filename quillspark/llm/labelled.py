@@ -21,5 +21,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: C
     share = most_rows / max(most_rows, known.count())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.where(place < share).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return written(rows.groupBy("_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y")).select("text", "y"), "labelled")
+    of = lambda d: d.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = of(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("_id", "text", "y")
+    again = of(docs.select("doc_id")).groupBy("_id").count().where("count > 1").select("_id")  # most_rows ids at most
+    again = docs.sparkSession.createDataFrame([(r["_id"],) for r in again.collect()], "_id long")
+    if not again.isEmpty():
+        several = rows.join(F.broadcast(again), "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+        rows = rows.join(F.broadcast(again), "_id", "left_anti").unionByName(several)
+    return written(rows.select("text", "y"), "labelled")

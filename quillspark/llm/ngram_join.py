@@ -330,7 +330,7 @@ def _classes(docs: DataFrame, words: int, num: int, den: int, tables: list[DataF
         tables += [nodes, rows, final]
     labelled = nodes.select("node", "key", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = labelled.join(least, "component").select("key", "component", "component_id")
+    by_class = labelled.join(splittable(least), "component").select("key", "component", "component_id")
     out = rows.join(by_class, "key", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "component", "text_hash")

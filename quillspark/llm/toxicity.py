@@ -18,16 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, spans, written
 from .labelled import labelled_sample
 
-SAMPLE_ROWS, CELL_BITS, ORDERS, SMOOTH, PENALTY, STEPS, THRESHOLD = 30_000, 20, (3, 4, 5), 1.0, 2.0, 300, 0.5
+SAMPLE_ROWS, CELL_BITS, ORDERS, SMOOTH, PENALTY, STEPS, THRESHOLD = 20_000, 20, (3, 4, 5), 1.0, 2.0, 300, 0.5
 #: The fit ends when so many steps lower the loss by less than this share; its sums go over so many cells of rows at once.
 PATIENCE, LEAST_GAIN, PART = 10, 1e-5, 1 << 21
-BLOCK_CHARS = 1 << 18
+#: Characters, and texts, worked on at once.
+BLOCK_CHARS, TEXTS = 1 << 18, 256
 _TO_SPACE = np.arange(128, dtype=np.uint32)
 _TO_SPACE[[c for c in range(128) if not chr(c).isalnum()]] = 32
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -102,30 +104,51 @@ class Model:
     intercept: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        row, cell = cells(texts, self.wanted)
-        z = self.intercept + np.bincount(row, self.weight[cell], len(texts))
+        z = np.full(len(texts), self.intercept)
+        for lo in range(0, len(texts), TEXTS):
+            row, cell = cells(texts[lo : lo + TEXTS], self.wanted)
+            z[lo : lo + TEXTS] += np.bincount(row, self.weight[cell], len(texts[lo : lo + TEXTS]))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _runs(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that aren't empty, and where they begin, as reduceat wants them."""
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    return some, offsets[some]
+
+
+def _sums(values: np.ndarray, runs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    out = np.zeros(n)
+    if len(values):
+        out[runs[0]] = np.add.reduceat(values, runs[1])
+    return out
+
+
 class _Rows:
-    """Texts as runs of features; products with weights go part by part, so that temporary arrays stay small."""
+    """Texts as runs of features. Products with weights go part by part, so that temporary arrays stay small; a part is kept by text and by feature."""
 
     def __init__(self, offsets: np.ndarray, feature: np.ndarray, ratio: np.ndarray):
-        self.n, self.m, self.feature, self.ratio = len(offsets) - 1, len(ratio), feature, ratio
-        self.parts = [(lo, hi, offsets[lo], offsets[hi], np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(offsets[lo : hi + 1]))) for lo, hi in spans(offsets, PART)]
+        self.m, self.ratio, self.parts = len(ratio), ratio, []
+        for lo, hi in spans(offsets, PART):
+            own = feature[offsets[lo] : offsets[hi]]
+            row = np.repeat(np.arange(hi - lo, dtype=np.min_scalar_type(hi - lo)), np.diff(offsets[lo : hi + 1]))
+            by_feature = row[np.argsort(own, kind="stable")]
+            cut = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=self.m))])
+            self.parts.append((lo, hi, own, _runs(offsets[lo : hi + 1] - offsets[lo]), by_feature, _runs(cut)))
+
+    def _times(self, own: np.ndarray) -> np.ndarray:
+        return np.concatenate([_sums(own[feature], runs, hi - lo) for lo, hi, feature, runs, _, _ in self.parts] or [np.zeros(0)])
 
     def times(self, weight: np.ndarray) -> np.ndarray:
         """Of each text the sum of its scaled features' weights."""
-        own = weight * self.ratio
-        return np.concatenate([np.bincount(row, own[self.feature[a:b]], hi - lo) for lo, hi, a, b, row in self.parts] or [np.zeros(0)])
+        return self._times(weight * self.ratio)
 
     def back(self, d: np.ndarray) -> np.ndarray:
         """Of each feature the sum of its texts' ``d``, scaled."""
-        return self.ratio * sum((np.bincount(self.feature[a:b], d[lo:hi][row], self.m) for lo, hi, a, b, row in self.parts), np.zeros(self.m))
+        return self.ratio * sum((_sums(d[lo:hi][row], runs, self.m) for lo, hi, _, _, row, runs in self.parts), np.zeros(self.m))
 
     def longest(self) -> float:
-        square = self.ratio**2
-        return max((float(np.bincount(row, square[self.feature[a:b]], hi - lo).max(initial=0)) for lo, hi, a, b, row in self.parts), default=0.0)
+        return float(self._times(self.ratio**2).max(initial=0))
 
 
 def _fit(x: _Rows, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
@@ -164,8 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
         for batch in batches:
             y = batch.column("y").to_numpy()
             texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                row, cell = cells(texts[lo : lo + 256])
+            for lo in range(0, len(texts), TEXTS):
+                row, cell = cells(texts[lo : lo + TEXTS])
                 held += np.bincount(y[lo + row] * size + cell, minlength=2 * size).reshape(2, size).astype(np.int32)
         some = np.flatnonzero(held.sum(0))
         for lo in range(0, len(some), 1 << 16):
@@ -188,21 +211,32 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     chosen = top["cell"].to_numpy(np.int64)
     wanted = np.zeros(size, bool)
     wanted[chosen] = True
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    place = np.zeros(size, np.min_scalar_type(len(chosen)))
+    place[chosen] = np.arange(len(chosen))
+    sent = docs.sparkSession.sparkContext.broadcast((wanted, place))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, place = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            row, cell = cells(texts, sent.value)
-            lists = np.split(cell.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts)))) if texts else []
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x.tobytes() for x in lists], pa.binary())], names=["y", "cells"])
-
-    rows = sample.mapInArrow(find, "y int, cells binary").toPandas().sort_values(["cells", "y"], kind="stable")
-    y = rows["y"].to_numpy(np.float64)
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows["cells"]])])
-    place = np.zeros(size, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    feature = place[np.frombuffer(b"".join(rows["cells"]), np.int32)]
+            lists = []
+            for lo in range(0, len(texts), TEXTS):
+                part = texts[lo : lo + TEXTS]
+                row, cell = cells(part, wanted)
+                lists += np.split(place[cell], np.searchsorted(row, np.arange(1, len(part))))
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), pa.array([x.tobytes() for x in lists], pa.binary())], names=["y", "h", "features"])
+
+    rows = sample.select("text", "y", F.xxhash64("text").alias("h")).mapInArrow(find, "y int, h long, features binary").toArrow()
+    # in one order always: by the text, then the label
+    order = np.lexsort((rows.column("y").to_numpy(), rows.column("h").to_numpy()))
+    y = rows.column("y").to_numpy().astype(np.float64)[order]
+    length = pc.binary_length(rows.column("features")).to_numpy()[order] // place.itemsize
+    offsets = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    feature = np.empty(offsets[-1], place.dtype)
+    column = rows.column("features")
+    for k, i in enumerate(order.tolist()):
+        feature[offsets[k] : offsets[k + 1]] = np.frombuffer(column[i].as_buffer(), place.dtype)
+    del rows, column
     discard(sample)
     p, q = top["toxic"].to_numpy(np.float64) + SMOOTH, top["clean"].to_numpy(np.float64) + SMOOTH
     ratio = np.log((p / p.sum()) / (q / q.sum()))
