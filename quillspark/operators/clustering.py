@@ -5,14 +5,16 @@ Input: ``row_index``, ``embedding`` (L2-normalised here), optionally ``different
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from ..sources.files import shared_folder
+from ..sources.files import remove, shared_folder
 
 MAX_DOCS, TILE = 500_000, 4096
 
@@ -36,21 +38,33 @@ def normalised(c: Column) -> Column:
 
 def hashed_vectors(df: DataFrame, row_index: str, text: str, dims: int = 256, n: int = 3) -> DataFrame:
     """Texts as normalised counts of hashed character n-grams, for when no embedding model is at hand."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    chars = tx.words_of(t, "(?s).")
-    grams = F.when(F.size(chars) >= n, tx.ngrams(chars, n, "")).otherwise(F.array(t))
-    cells = df.select(F.col(row_index).alias("row_index"), F.explode(grams).alias("g")).groupBy("row_index", F.pmod(F.xxhash64("g"), F.lit(dims)).cast("int").alias("cell")).agg(F.count("*").cast("double").alias("x"))
-    m = cells.groupBy("row_index").agg(F.map_from_entries(F.collect_list(F.struct("cell", "x"))).alias("m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return m.select("row_index", normalised(v).alias("embedding"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_hashed(t.as_py() or "", dims, n) for t in batch.column("text")]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dims), pa.array(np.concatenate(out) if out else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([batch.column("row_index"), lists], names=["row_index", "embedding"])
+
+    return df.select(F.col(row_index).cast("long").alias("row_index"), F.col(text).cast("string").alias("text")).mapInArrow(run, "row_index long, embedding array<double>")
+
+
+def _hashed(text: str, dims: int, n: int) -> np.ndarray:
+    """Counts of hashed n-grams over cells, of length 1. A text shorter than an n-gram is one n-gram."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    m = max(1, len(c) - n + 1)
+    h = np.full(m, len(c[:n]), np.uint64)
+    for k in range(min(n, len(c))):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + c[k : k + m]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = np.bincount(((h ^ (h >> np.uint64(32))) % np.uint64(dims)).astype(np.int64), minlength=dims).astype(np.float64)
+    return x / np.sqrt((x**2).sum())
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """A written table in the shared folder."""
+def _checkpoint(df: DataFrame) -> tuple[DataFrame, str]:
+    """A written table in the shared folder, and where it lies."""
     spark = df.sparkSession
     path = shared_folder(spark, "cluster")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
@@ -83,22 +97,25 @@ def similar_pairs(vectors: DataFrame, threshold: float, tile: int = TILE) -> Dat
     return copies.groupBy(*keys).applyInPandas(run, "a long, b long, similarity double")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.8, most_rounds: int = 1000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.8, most_rounds: int = 100_000) -> DataFrame:
     """``row_index, leader, similarity``: as if rows were taken in order, each free row leading all later free rows near it.
 
     The same outcome in parallel: a row leads once all its earlier neighbours follow others, and follows once one of
     them leads; followers go with their earliest leader. Each round is written out.
     """
     v = vectors.withColumn("embedding", normalised(F.col("embedding")))
-    pairs = _checkpoint(similar_pairs(v, threshold))
-    state = _checkpoint(v.select("row_index", F.lit(0).alias("state")))  # 0 open, 1 leader, 2 follower
+    pairs, _ = _checkpoint(similar_pairs(v, threshold))
+    state, path = _checkpoint(v.select("row_index", F.lit(0).alias("state")))  # 0 open, 1 leader, 2 follower
     for _ in range(most_rounds):
         early = pairs.join(state.select(F.col("row_index").alias("a"), F.col("state").alias("sa")), "a").groupBy("b").agg(F.max((F.col("sa") == 1).cast("int")).alias("led"), F.min((F.col("sa") == 2).cast("int")).alias("free"))
         now = state.join(early, state["row_index"] == early["b"], "left")
         new = F.when(F.col("state") != 0, F.col("state")).when(F.col("b").isNull() | (F.col("free") == 1), F.lit(1)).when(F.col("led") == 1, F.lit(2)).otherwise(F.lit(0))
-        state = _checkpoint(now.select("row_index", new.alias("state")))
+        state, path, before = *_checkpoint(now.select("row_index", new.alias("state"))), path
+        remove(before, v.sparkSession)
         if state.where("state = 0").isEmpty():
             break
+    else:
+        raise RuntimeError(f"rows are still open after {most_rounds} rounds")
     leaders = state.where("state = 1").select(F.col("row_index").alias("a"))
     led = pairs.join(leaders, "a").groupBy("b").agg(F.min_by(F.struct("a", "similarity"), "a").alias("l"))
     out = state.join(led, state["row_index"] == led["b"], "left")

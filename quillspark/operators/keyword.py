@@ -11,20 +11,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import graph
 from ..functions import text as tx
+from ..sources.files import shared_folder
 from .lexicon import PROPER, STOP_WORDS
 
 #: Runs of emoji and symbols (fixed ranges).
 EMOJI = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{200D}\x{FE0F}\x{2B50}\x{2B06}\x{2194}-\x{21AA}\x{23CF}\x{23E9}-\x{23F3}\x{25AA}-\x{25FE}\x{1FA00}-\x{1FAFF}]+"
+#: Prefixes that are no families, forms without an apostrophe, and short forms that count as known words.
 STOP_PREFIXES = "the pre pro con dis mis non over out under sub super inter trans anti auto semi multi post com for per man pol can".split()
 CONTRACTIONS = "ve ll re doesn hasn isn wasn aren didn won wouldn shouldn couldn hadn don".split()
 ABBREVIATIONS = "http https www url html jpg png gif pdf csv json api id ok lol omg wtf idk imo imho fyi btw tbh smh ngl dm pm rt irl fwiw tldr afaik etc covid covid19 ai ml nft crypto usa".split()
-#: Endings of inflected forms: added to any word; or put in place of a last e or y.
+#: Endings of inflected forms, added to any word; or put in place of a last e or y.
 ENDINGS, E_ENDINGS, Y_ENDINGS = "s es ed ing er ers ly ness ment tion ation".split(), ("ing", "ed", "er"), ("ies", "ied")
 CANDIDATE = "term string, score double, source string, sources array<string>, context string, evidence array<string>, community_id int, doc_count long"
 MODULES = ("cooccurrence", "semantic", "network", "corpus_specific")
@@ -62,6 +65,19 @@ def corpus(df: DataFrame, doc_id: str, text: str, ngrams: tuple[int, int] = (1,
     return Corpus(docs, postings, vocab, docs.count())
 
 
+def stored(c: Corpus) -> Corpus:
+    """The corpus with its tables written to the shared folder, so that texts are tokenised once however often it is read."""
+    spark = c.docs.sparkSession
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        path = shared_folder(spark, f"keyword-{label}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    docs, postings = kept(c.docs, "docs"), kept(c.postings, "postings")
+    return Corpus(docs, postings, kept(c.vocab, "vocab"), c.n_docs)
+
+
 def seed_docs(c: Corpus, seeds: list[str], exact: bool = False) -> DataFrame:
     """``doc_id`` of documents with a seed: by the index, or for seeds that it lacks by whole words in the text."""
     seeds = sorted({s.lower() for s in seeds})
@@ -157,56 +173,72 @@ def cooccurrence(c: Corpus, seeds: list[str], top_n: int = 50, min_df: int = 5)
 
 def ppmi(c: Corpus, min_df: int = 5, window: int = 5, max_vocab: int = 10_000) -> DataFrame:
     """``a, b, count, ppmi`` of vocabulary words that stand within ``window`` places among the document's vocabulary words."""
-    vocab = c.vocab.where(F.col("doc_count") >= min_df).orderBy(F.desc("doc_count"), "term").limit(max_vocab).select("term")
-    words = c.docs.select("doc_id", F.posexplode(tx.words_of(F.col("clean"), r"(?U)\b\w+\b")).alias("at", "term")).join(F.broadcast(vocab), "term")
-    # neighbours by shifting, not by a join of a document with itself
-    w = W.partitionBy("doc_id").orderBy("at")
-    seq = words.select("term", F.array(*(F.lead("term", k).over(w) for k in range(1, window + 1))).alias("after"))
-    pairs = seq.select(F.col("term").alias("a"), F.explode(F.filter("after", lambda x: x.isNotNull())).alias("b"))
-    counts = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("count"))
+    vocab = [r["term"] for r in c.vocab.where(F.col("doc_count") >= min_df).orderBy(F.desc("doc_count"), "term").limit(max_vocab).select("term").collect()]
+    if not vocab:
+        return c.docs.sparkSession.createDataFrame([], "a string, b string, count long, ppmi double")
+    # a document's own array gives the pairs, so no token is shuffled; the filtered array is bound once, as a lambda's argument
+    words = F.filter(tx.words_of(F.col("clean"), r"(?U)\b\w+\b"), lambda x: x.isin(vocab))
+    near = lambda w: F.flatten(F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, window), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = c.docs.select(F.explode(F.element_at(F.transform(F.array(words), near), 1)).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    counts = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("count"))
     sums = counts.groupBy("a").agg(F.sum("count").alias("s"))
     total = sums.agg(F.sum("s").alias("total"))
     out = counts.join(sums.select("a", F.col("s").alias("ra")), "a").join(sums.select(F.col("a").alias("b"), F.col("s").alias("rb")), "b").crossJoin(F.broadcast(total))
     return out.select("a", "b", "count", F.greatest(F.lit(0.0), F.log(F.col("count").cast("double") * F.col("total") / (F.col("ra").cast("double") * F.col("rb")))).alias("ppmi"))
 
 
+def _factors(rows: DataFrame, n: int, k: int, more: int = 20, passes: int = 8) -> np.ndarray:
+    """Left singular vectors times the roots of singular values of a symmetric matrix, by subspace iteration.
+
+    ``rows``: ``i, at array<int>, value array<double>``. A pass is one job; the driver holds n x (k + more) numbers, n being bounded.
+    """
+    spark = rows.sparkSession
+
+    def times(m: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(m)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = [(np.frombuffer(v.values.buffers()[1], np.float64)[v.values.offset : v.values.offset + len(v.values)] @ sent.value[a.values.to_numpy()]).tobytes() for a, v in zip(batch.column("at"), batch.column("value"), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(got, pa.binary())], names=["i", "row"])
+
+        out = np.zeros((n, m.shape[1]))
+        got = rows.mapInArrow(run, "i int, row binary").toArrow()
+        for i, row in zip(got.column("i").to_pylist(), got.column("row"), strict=True):
+            out[i] = np.frombuffer(row.as_buffer(), np.float64)
+        sent.unpersist()
+        return out
+
+    q = np.linalg.qr(times(np.random.default_rng(0).standard_normal((n, min(n, k + more)))))[0]
+    for _ in range(passes):
+        q = np.linalg.qr(times(q))[0]
+    u, size, _ = np.linalg.svd(times(q).T, full_matrices=False)
+    return (q @ u[:, :k]) * np.sqrt(size[:k])
+
+
 def semantic_scores(c: Corpus, seeds: list[str], min_df: int = 5, window: int = 5, dims: int = 100, max_vocab: int = 10_000) -> DataFrame:
     """``term, doc_count, similarity, score``: closeness of a term's contexts to the seeds'.
 
-    The PPMI matrix (a bounded vocabulary) is factored with the distributed RowMatrix SVD.
+    The PPMI matrix (a bounded vocabulary) is written once, by rows, and factored by subspace iteration over them.
     """
-    from pyspark.mllib.linalg import Vectors, VectorUDT
-    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-    from pyspark.sql.types import LongType, StructField, StructType
-
     spark = c.docs.sparkSession
     seeds = [s.lower() for s in seeds]
-    table = ppmi(c, min_df, window, max_vocab).where("ppmi > 0").persist()
-    kept = None
-    try:
-        names = [r["a"] for r in table.select("a").distinct().orderBy("a").collect()]
-        at = {t: i for i, t in enumerate(names)}
-        known = [at[s] for s in seeds if s in at]
-        k = min(dims, len(names) - 1)
-        empty = spark.createDataFrame([], "term string, doc_count long, similarity double, score double")
-        if not known or k < 2:
-            return empty
-        ids = spark.createDataFrame([(t, i) for t, i in at.items()], "t string, i long")
-        rows = table.join(F.broadcast(ids), F.col("a") == F.col("t")).select(F.col("i").alias("ia"), "b", "ppmi").join(F.broadcast(ids), F.col("b") == F.col("t")).groupBy("ia").agg(F.array_sort(F.collect_list(F.struct("i", "ppmi"))).alias("v"))
-        vectors = rows.rdd.map(lambda r, n=len(names): (r["ia"], Vectors.sparse(n, [(x["i"], x["ppmi"]) for x in r["v"]])))
-        # every step of the factoring reads the rows again, so they stay in the JVM
-        kept = spark.createDataFrame(vectors, StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])).persist()
-        matrix = IndexedRowMatrix(kept, 0, len(names))
-        svd = matrix.computeSVD(k, computeU=True)
-        weight = np.sqrt(svd.s.toArray())
-        u = svd.U.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist())).collect()
-    finally:
-        table.unpersist()
-        if kept is not None:
-            kept.unpersist()
-    x = np.zeros((len(names), len(weight)))
-    for i, v in u:
-        x[i] = np.array(v) * weight
+    path = shared_folder(spark, "keyword-ppmi")
+    ppmi(c, min_df, window, max_vocab).where("ppmi > 0").write.parquet(path)
+    table = spark.read.parquet(path)
+    names = [r["a"] for r in table.select("a").distinct().orderBy("a").collect()]
+    at = {t: i for i, t in enumerate(names)}
+    known = [at[s] for s in seeds if s in at]
+    k = min(dims, len(names) - 1)
+    empty = spark.createDataFrame([], "term string, doc_count long, similarity double, score double")
+    if not known or k < 2:
+        return empty
+    ids = spark.createDataFrame([(t, i) for t, i in at.items()], "t string, i int")
+    entries = table.join(F.broadcast(ids), F.col("a") == F.col("t")).select(F.col("i").alias("ia"), "b", "ppmi").join(F.broadcast(ids), F.col("b") == F.col("t"))
+    rows = entries.groupBy("ia").agg(F.array_sort(F.collect_list(F.struct("i", "ppmi"))).alias("v"))
+    path = shared_folder(spark, "keyword-rows")
+    rows.select(F.col("ia").alias("i"), F.transform("v", lambda x: x["i"]).alias("at"), F.transform("v", lambda x: x["ppmi"]).alias("value")).write.parquet(path)
+    x = _factors(spark.read.parquet(path), len(names), k)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centre = x[known].mean(0)
     if not np.linalg.norm(centre):
@@ -364,7 +396,8 @@ def merge(candidates: DataFrame, seeds: list[str], dismissed: list[str] = (), ex
     """One row per term: the highest score and its context, all sources, five pieces of evidence at most.
 
     Seeds, dismissed and excluded terms, their plain variants, stop words, rare and too frequent terms go, and words of
-    terms of several words. Ties follow the order of MODULES.
+    terms of several words. Ties follow the order of MODULES. ``stop``: the stop words; by default the short English list of the
+    lexicon, beside which a longer one (a file of words, see :func:`word_list`) can be given.
     """
     stop = STOP_WORDS if stop is None else stop
     low = lambda xs: sorted({x.lower() for x in xs})
@@ -389,6 +422,11 @@ def merge(candidates: DataFrame, seeds: list[str], dismissed: list[str] = (), ex
     return kept.orderBy(F.desc("score"), "term")
 
 
+def word_list(spark, path: str) -> list[str]:
+    """The distinct words of a text file, in lower case: a user's stop list or the like, whose size the user knows."""
+    return sorted(r["w"] for r in spark.read.text(path).select(F.explode(F.split(F.lower("value"), r"\s+")).alias("w")).where("w <> ''").distinct().collect())
+
+
 def rerank(candidates: DataFrame, scorer=None, top_k: int = 50) -> DataFrame:
     """``scorer(candidates) -> term, score`` replaces the scores of the first ``top_k``; without one all stays."""
     if scorer is None:
@@ -397,13 +435,14 @@ def rerank(candidates: DataFrame, scorer=None, top_k: int = 50) -> DataFrame:
     return head.drop("score").join(scorer(head), "term").select(*candidates.columns).orderBy(F.desc("score"), "term")
 
 
-def discover(c: Corpus, seeds: list[str], known: DataFrame, top_n: int = 50, min_df: int = 5, dismissed: list[str] = (), excluded: list[str] = (), scorer=None, max_df_ratio: float = MAX_DF_RATIO) -> DataFrame:
-    """All four modules, merged and reranked."""
+def discover(c: Corpus, seeds: list[str], known: DataFrame, top_n: int = 50, min_df: int = 5, dismissed: list[str] = (), excluded: list[str] = (), scorer=None, max_df_ratio: float = MAX_DF_RATIO, stop: list[str] | None = None) -> DataFrame:
+    """All four modules, merged and reranked. The corpus is written first, as each module reads it."""
+    c = stored(c)
     parts = [cooccurrence(c, seeds, top_n, min_df), semantic(c, seeds, top_n, min_df), network(c, seeds, top_n, min_df), corpus_specific(c, seeds, known, top_n, min_df)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return rerank(merge(every, seeds, dismissed, excluded, min_df, c.n_docs, max_df_ratio), scorer)
+    return rerank(merge(every, seeds, dismissed, excluded, min_df, c.n_docs, max_df_ratio, stop), scorer)
 
 
 @dataclass

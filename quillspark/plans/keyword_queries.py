@@ -1,4 +1,4 @@
-"""Queries of keyword discovery over English ``documents``; the seeds are words of the corpus."""
+"""Queries of keyword discovery over all ``documents``; the seeds are words of the corpus, the words of ``benchmark`` stand in for a dictionary."""
 
 from __future__ import annotations
 
@@ -15,13 +15,13 @@ MIN_DF = 5
 
 
 def corpus(spark, d) -> kd.Corpus:
-    return kd.corpus(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "text", min_df=MIN_DF)
+    return kd.corpus(table(spark, d, "documents"), "doc_id", "text", min_df=MIN_DF)
 
 
 WORD = r"[\p{L}\p{N}_]"
 CLEAN = rf"trim(lower(regexp_replace(regexp_replace(text, '(?i)https?://\S+', '', 'g'), '@{WORD}+', '', 'g')))"
 PROPER = r"list_transform(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '0', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b'), lambda x: lower(x))"
-DOCS = f"(SELECT doc_id, text, {CLEAN} AS clean FROM documents WHERE lang = 'en')"
+DOCS = f"(SELECT doc_id, text, {CLEAN} AS clean FROM documents WHERE text IS NOT NULL)"
 TERMS = f"(SELECT doc_id, list_concat(w, list_concat(CASE WHEN len(w) < 2 THEN [] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END, p)) AS t FROM (SELECT doc_id, regexp_extract_all(clean, '{WORD}+') AS w, {PROPER} AS p FROM {DOCS}))"
 POSTINGS = f"(SELECT DISTINCT doc_id, unnest(t) AS term FROM {TERMS})"
 VOCAB = f"(SELECT term, count(*) AS doc_count FROM {POSTINGS} GROUP BY 1 HAVING count(*) >= {MIN_DF})"
@@ -35,7 +35,7 @@ def kd_clean(spark, d):
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, array_to_string(t, '|') AS terms FROM (SELECT doc_id, list_concat(w, CASE WHEN len(w) < 2 THEN [] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS t FROM (SELECT doc_id, regexp_extract_all(clean, '{WORD}+') AS w FROM {DOCS}))")
 def kd_tokenize(spark, d):
     t = kd.terms_of(F.col("clean"))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", kd.clean(F.col("text")).alias("clean")).select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, "|").alias("terms"))
+    return table(spark, d, "documents").select("doc_id", kd.clean(F.col("text")).alias("clean")).select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, "|").alias("terms"))
 
 
 @query(f"SELECT doc_id, term FROM (SELECT doc_id, unnest({PROPER}) AS term FROM documents)")
@@ -80,12 +80,12 @@ LLR = "2.0::DOUBLE * (" + f"({_side('xy', 'x', 'xy / x')}) + ({_side('(y - xy)',
 
 @query(f"SELECT term, {PMI} AS pmi FROM {COUNTS}")
 def kd_pmi(spark, d):
-    return kd.cooccurrence_scores(corpus(spark, d), SEEDS, MIN_DF).select("term", "pmi")
+    return kd.cooccurrence_scores(kd.stored(corpus(spark, d)), SEEDS, MIN_DF).select("term", "pmi")
 
 
 @query(f"SELECT term, {LLR} AS llr FROM {COUNTS}")
 def kd_llr(spark, d):
-    return kd.cooccurrence_scores(corpus(spark, d), SEEDS, MIN_DF).select("term", "llr")
+    return kd.cooccurrence_scores(kd.stored(corpus(spark, d)), SEEDS, MIN_DF).select("term", "llr")
 
 
 @query(f"SELECT term, (doc_count - min(doc_count) OVER ()) / (max(doc_count) OVER () - min(doc_count) OVER ()) AS scaled FROM {VOCAB}")
@@ -98,32 +98,32 @@ SCORES = f"(SELECT *, 0.4::DOUBLE * (pmi - min(pmi) OVER ()) / (max(pmi) OVER ()
 
 @query(f"SELECT term, n_co, doc_count, round(score, 9) AS score FROM {SCORES}")
 def kd_cooccurrence(spark, d):
-    return kd.cooccurrence_scores(corpus(spark, d), SEEDS, MIN_DF).select("term", "n_co", "doc_count", F.round("score", 9).alias("score"))
+    return kd.cooccurrence_scores(kd.stored(corpus(spark, d)), SEEDS, MIN_DF).select("term", "n_co", "doc_count", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH p AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r FROM {POSTINGS} WHERE term IN {_in(SEEDS)})
     SELECT term, string_agg(trim(left(text, 300)) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END, '|' ORDER BY doc_id) AS evidence FROM p JOIN documents USING (doc_id) WHERE r <= 5 GROUP BY term""")
 def kd_evidence(spark, d):
-    c = corpus(spark, d)
+    c = kd.stored(corpus(spark, d))
     terms = c.postings.where(F.col("term").isin(SEEDS)).select("term").distinct()
     return kd.evidence(c, terms).select("term", F.array_join("evidence", "|").alias("evidence"))
 
 
-SEQ = f"(SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(clean, '{WORD}+') AS w FROM {DOCS})) WHERE term IN (SELECT term FROM {VOCAB} ORDER BY doc_count DESC, term LIMIT 1000))"
+SEQ = f"(SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(clean, '{WORD}+') AS w FROM {DOCS})) WHERE term IN (SELECT term FROM {VOCAB} ORDER BY doc_count DESC, term LIMIT 10000))"
 
 
 @query(f"""WITH s AS {SEQ}, c AS (SELECT x.term AS a, y.term AS b, count(*) AS count FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.i <> y.i AND abs(x.i - y.i) <= 5 GROUP BY 1, 2),
     m AS (SELECT a, sum(count)::DOUBLE AS s FROM c GROUP BY 1) SELECT c.a, c.b, count, round(greatest(0, ln(count::DOUBLE * (SELECT sum(s) FROM m) / (x.s * y.s))), 9) AS ppmi FROM c JOIN m x ON x.a = c.a JOIN m y ON y.a = c.b""")
 def kd_ppmi(spark, d):
-    return kd.ppmi(corpus(spark, d), MIN_DF, 5, 1000).withColumn("ppmi", F.round("ppmi", 9))
+    return kd.ppmi(kd.stored(corpus(spark, d)), MIN_DF).withColumn("ppmi", F.round("ppmi", 9))
 
 
 @query()
 def kd_semantic(spark, d):
-    return kd.semantic(corpus(spark, d), SEEDS, 50, MIN_DF)
+    return kd.semantic(kd.stored(corpus(spark, d)), SEEDS, 50, MIN_DF)
 
 
-GRAPH = f"""(WITH v AS (SELECT term, doc_count FROM {VOCAB} ORDER BY CASE WHEN term IN {_in(SEEDS)} THEN 0 ELSE 1 END, doc_count DESC, term LIMIT 300),
+GRAPH = f"""(WITH v AS (SELECT term, doc_count FROM {VOCAB} ORDER BY CASE WHEN term IN {_in(SEEDS)} THEN 0 ELSE 1 END, doc_count DESC, term LIMIT 1000),
     f AS (SELECT doc_id, term FROM (SELECT doc_id, p.term, row_number() OVER (PARTITION BY doc_id ORDER BY v.doc_count DESC, p.term) AS r FROM {POSTINGS} p JOIN v ON p.term = v.term) WHERE r <= 40),
     e AS (SELECT x.term AS a, y.term AS b, count(*) AS weight FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY 1, 2),
     u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), h0 AS (SELECT term FROM v WHERE term IN {_in(SEEDS)}), h1 AS (SELECT term FROM h0 UNION SELECT b FROM u WHERE a IN (SELECT term FROM h0)),
@@ -132,11 +132,11 @@ GRAPH = f"""(WITH v AS (SELECT term, doc_count FROM {VOCAB} ORDER BY CASE WHEN t
 
 @query(GRAPH[1:-1])
 def kd_graph(spark, d):
-    return kd.cooccurrence_graph(corpus(spark, d), SEEDS, MIN_DF, 300)[1]
+    return kd.cooccurrence_graph(kd.stored(corpus(spark, d)), SEEDS, MIN_DF)[1]
 
 
 def _measures(spark, d):
-    nodes, edges = kd.cooccurrence_graph(corpus(spark, d), SEEDS, MIN_DF)
+    nodes, edges = kd.cooccurrence_graph(kd.stored(corpus(spark, d)), SEEDS, MIN_DF)
     return kd.graph_measures(nodes, edges, SEEDS)
 
 
@@ -157,16 +157,15 @@ def kd_communities(spark, d):
 
 @query()
 def kd_network(spark, d):
-    return kd.network(corpus(spark, d), SEEDS, 50, MIN_DF)
+    return kd.network(kd.stored(corpus(spark, d)), SEEDS, 50, MIN_DF)
 
 
 def _words(spark, d):
-    """Words of the other languages' documents stand in for a dictionary."""
     w = F.explode(kd.terms_of(kd.clean(F.col("text")), 1, 1))
-    return table(spark, d, "documents").where("lang = 'es'").select(w.alias("word")).distinct()
+    return table(spark, d, "benchmark").select(w.alias("word")).distinct()
 
 
-WORDS = f"(SELECT DISTINCT unnest(regexp_extract_all(c, '{WORD}+')) AS word FROM (SELECT {CLEAN} AS c FROM documents WHERE lang = 'es'))"
+WORDS = f"(SELECT DISTINCT unnest(regexp_extract_all(c, '{WORD}+')) AS word FROM (SELECT {CLEAN} AS c FROM benchmark))"
 LEXICON = f"""(SELECT word FROM {WORDS} UNION SELECT word || e FROM {WORDS}, (SELECT unnest({list(kd.ENDINGS)}) AS e) WHERE length(word) >= 2
     UNION SELECT left(word, -1) || e FROM {WORDS}, (SELECT unnest({list(kd.E_ENDINGS)}) AS e) WHERE length(word) >= 2 AND word LIKE '%e' UNION SELECT left(word, -1) || e FROM {WORDS}, (SELECT unnest({list(kd.Y_ENDINGS)}) AS e) WHERE length(word) >= 2 AND word LIKE '%y'
     UNION SELECT unnest({kd.CONTRACTIONS + kd.ABBREVIATIONS}))"""
@@ -185,9 +184,9 @@ def kd_non_english(spark, d):
     return kd.unknown_terms(corpus(spark, d).vocab, kd.lexicon(_words(spark, d)))
 
 
-@query(f"SELECT prefix, count(*) AS size FROM (SELECT left(term, n) AS prefix FROM (SELECT term, unnest(range(3, length(term))) AS n FROM {UNKNOWN} WHERE NOT contains(term, ' ') AND length(term) > 3)) WHERE prefix NOT IN {_in(kd.STOP_PREFIXES)} GROUP BY 1 HAVING count(*) >= 3")
+@query(f"SELECT prefix, count(*) AS size, array_to_string(list_sort(list(term))[:5], '|') AS members FROM (SELECT term, left(term, n) AS prefix FROM (SELECT term, unnest(range(3, length(term))) AS n FROM {UNKNOWN} WHERE NOT contains(term, ' ') AND length(term) > 3)) WHERE prefix NOT IN {_in(kd.STOP_PREFIXES)} GROUP BY 1 HAVING count(*) >= 3")
 def kd_affixes(spark, d):
-    return kd.productive_prefixes(kd.unknown_terms(corpus(spark, d).vocab, kd.lexicon(_words(spark, d)))).select("prefix", "size")
+    return kd.productive_prefixes(kd.unknown_terms(corpus(spark, d).vocab, kd.lexicon(_words(spark, d)))).select("prefix", "size", F.array_join("members", "|").alias("members"))
 
 
 SPECIFIC = f"""(SELECT term, doc_count, ln(1 + doc_count::DOUBLE) * (1 + 2.0::DOUBLE * coalesce(co, 0) / doc_count) AS s FROM {VOCAB} JOIN {UNKNOWN} USING (term)
@@ -196,7 +195,7 @@ SPECIFIC = f"""(SELECT term, doc_count, ln(1 + doc_count::DOUBLE) * (1 + 2.0::DO
 
 @query(f"SELECT term, doc_count, round(s / max(s) OVER (), 9) AS score FROM {SPECIFIC}")
 def kd_corpus_specific(spark, d):
-    return kd.corpus_specific_scores(corpus(spark, d), SEEDS, kd.lexicon(_words(spark, d)), MIN_DF).select("term", "doc_count", F.round("score", 9).alias("score"))
+    return kd.corpus_specific_scores(kd.stored(corpus(spark, d)), SEEDS, kd.lexicon(_words(spark, d)), MIN_DF).select("term", "doc_count", F.round("score", 9).alias("score"))
 
 
 OVERLAP = "len(list_filter(string_split(term, ' '), lambda w: " + " OR ".join(f"starts_with(w, '{s}') OR starts_with('{s}', w)" for s in SEEDS) + ")) > 0"
@@ -209,7 +208,7 @@ def kd_stem_overlap(spark, d):
 
 def _two_modules(spark, d):
     """Candidates of two modules without evidence, so that SQL can follow."""
-    c = corpus(spark, d)
+    c = kd.stored(corpus(spark, d))
     none = F.array().cast("array<string>")
     shape = lambda t, name: t.select("term", F.round("score", 9).alias("score"), F.lit(name).alias("source"), F.array(F.lit(name)).alias("sources"), F.lit(name).alias("context"), none.alias("evidence"), F.lit(None).cast("int").alias("community_id"), "doc_count")
     return c, shape(kd.cooccurrence_scores(c, SEEDS, MIN_DF), "cooccurrence").unionByName(shape(kd.corpus_specific_scores(c, SEEDS, kd.lexicon(_words(spark, d)), MIN_DF), "corpus_specific"))
@@ -230,16 +229,19 @@ def kd_discover(spark, d):
     return kd.discover(c, SEEDS, kd.lexicon(_words(spark, d)), 50, MIN_DF, max_df_ratio=0.5)
 
 
-@query()
+TOP = f"(SELECT *, row_number() OVER (ORDER BY score DESC, term) AS place FROM {SCORES})"
+
+
+@query(f"SELECT term, round(1.0::DOUBLE / (1 + length(term)), 9) AS score, doc_count FROM {TOP} WHERE place <= 20")
 def kd_rerank(spark, d):
-    c = corpus(spark, d)
+    c = kd.stored(corpus(spark, d))
     first = kd.cooccurrence(c, SEEDS, 50, MIN_DF)
-    return kd.rerank(first, lambda h: h.select("term", (1.0 / (1.0 + F.length("term"))).alias("score")), 20)
+    return kd.rerank(first, lambda h: h.select("term", (1.0 / (1.0 + F.length("term"))).alias("score")), 20).select("term", F.round("score", 9).alias("score"), "doc_count")
 
 
 def _chain(spark, d) -> kd.Chain:
     chain = kd.Chain.start(SEEDS)
-    c = corpus(spark, d)
+    c = kd.stored(corpus(spark, d))
     top = kd.cooccurrence(c, chain.seeds, 10, MIN_DF)
     chain.record(top)
     names = [r["term"] for r in top.select("term").collect()]
@@ -247,7 +249,7 @@ def _chain(spark, d) -> kd.Chain:
     return chain
 
 
-@query()
+@query(f"SELECT 'seeds' AS kind, unnest({SEEDS}) AS term UNION ALL SELECT unnest(CASE WHEN place <= 2 THEN ['seeds', 'added'] WHEN place = 3 THEN ['excluded'] ELSE ['dismissed'] END), term FROM {TOP} WHERE place <= 4")
 def kd_select(spark, d):
     chain = _chain(spark, d)
     return spark.createDataFrame([(k, t) for k in ("seeds", "added", "excluded", "dismissed") for t in getattr(chain, k)], "kind string, term string")
@@ -260,6 +262,6 @@ def kd_undo(spark, d):
     return spark.createDataFrame([(s,) for s in chain.seeds], "term string")
 
 
-@query()
+@query(f"SELECT term, round(score, 4) AS score, 'cooccurrence' AS sources, printf('Co-occurring term (PMI: %.2f, LLR: %.1f)', pmi, llr) AS context, doc_count, CAST(NULL AS INTEGER) AS community_id, CAST(1 AS INTEGER) AS round FROM {TOP} WHERE place <= 10")
 def kd_export_csv(spark, d):
     return _chain(spark, d).table(spark)
