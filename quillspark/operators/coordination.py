@@ -69,10 +69,12 @@ def co_post_share(events: DataFrame, seconds: int = 10) -> DataFrame:
     return c.agg(F.try_divide(F.sum(F.when(F.col("copost"), F.col("n")).otherwise(0)), F.sum("n")).alias("copost_share_total"))
 
 
-def pairwise_co_posts(events: DataFrame, seconds: int = 10, most_entities: int = 200, compat_first20: bool = False) -> DataFrame:
-    """How many windows two entities share. Windows with more than ``most_entities`` entities are left out, as in the tool this stands in for."""
-    pairs = _by_window(events, seconds)
-    sized = pairs.withColumn("k", F.count("*").over(W.partitionBy("window_start"))).where((F.col("k") >= 2) & (F.col("k") <= most_entities))
+def pairwise_co_posts(events: DataFrame, seconds: int = 10, most_entities: int | None = None, compat_first20: bool = False) -> DataFrame:
+    """How many windows two entities share. ``most_entities`` leaves out windows of more entities; ``compat_first20`` pairs the first twenty of each window only."""
+    sized = _by_window(events, seconds)
+    if most_entities:
+        few = sized.groupBy("window_start").agg(F.count("*").alias("k")).where(F.col("k") <= most_entities)
+        sized = sized.join(few, "window_start", "left_semi")
     if compat_first20:
         sized = sized.withColumn("r", F.row_number().over(W.partitionBy("window_start").orderBy("first", "entity"))).where(f"r <= {SHOWN}")
     left, right = sized.select("window_start", F.col("entity").alias("entity_a")), sized.select("window_start", F.col("entity").alias("entity_b"))
@@ -105,8 +107,13 @@ def amplification(exploded: DataFrame, token: str, seconds: int = 300, min_entit
     pairs = _by_window(exploded, seconds, token)
     found = pairs.groupBy(token, "window_start").agg(F.count("*").alias("distinct_entities"), F.sum("n").alias("total_shares"), F.min("first.ts").alias("first_ts"), F.max("last").alias("last_ts")).where(F.col("distinct_entities") >= min_entities)
     names = _names(pairs.join(found.select(token, "window_start"), [token, "window_start"], "left_semi"), [token, "window_start"])
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("distinct_entities"), F.desc("total_shares"), token, "window_start"))
-    out = found.join(names, [token, "window_start"]).withColumn("group_id", rank.cast("long"))
+    order = (F.desc("distinct_entities"), F.desc("total_shares"), F.asc(token), F.asc("window_start"))
+    out = found.join(names, [token, "window_start"])
+    # places by level of entities first: only groups of one level are numbered together, and levels are few
+    levels = found.groupBy("distinct_entities").agg(F.count("*").alias("_n"))
+    above = levels.select(F.col("distinct_entities").alias("_level"), F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy(F.desc("distinct_entities")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    rank = F.row_number().over(W.partitionBy("distinct_entities").orderBy(*order[1:]))
+    out = out.join(above, F.col("distinct_entities") == F.col("_level")).withColumn("group_id", (F.col("_above") + rank).cast("long"))
     return out.select("group_id", token, "window_start", "first_ts", "last_ts", "distinct_entities", "total_shares", "entities")
 
 

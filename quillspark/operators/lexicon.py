@@ -65,10 +65,11 @@ def top_terms(freq: DataFrame, n: int = 1000) -> DataFrame:
 
 def differential(freq: DataFrame, a: str, b: str, n: int = 100) -> DataFrame:
     """Terms that either of two groups has among its first ``n``: their counts and shares in both, and the difference."""
-    candidates = top_terms(freq.where(F.col("group").isin(a, b)), n).select("term").distinct()
-    side = lambda g, p: freq.where(F.col("group") == g).select("term", F.col("count_raw").alias(f"{p}_raw"), F.col("normalized_per_thousand").alias(f"{p}_norm"))
-    both = candidates.join(side(a, a), "term", "left").join(side(b, b), "term", "left").na.fill(0)
-    return both.select("term", f"{a}_raw", f"{b}_raw", F.round(f"{a}_norm", 4).alias(f"{a}_norm"), F.round(f"{b}_norm", 4).alias(f"{b}_norm"), F.round(F.col(f"{a}_norm") - F.col(f"{b}_norm"), 4).alias("differential_norm")).orderBy(F.desc("differential_norm"), "term")
+    of = lambda c, g: F.coalesce(F.sum(F.when(F.col("group") == g, F.col(c))), F.lit(0))
+    wide = freq.where(F.col("group").isin(a, b)).groupBy("term").agg(of("count_raw", a).alias("_ra"), of("count_raw", b).alias("_rb"), of("normalized_per_thousand", a).alias("_na"), of("normalized_per_thousand", b).alias("_nb"))
+    first = lambda c: wide.where(F.col(c) > 0).orderBy(F.desc(c), "term").limit(n)
+    both = first("_ra").unionByName(first("_rb")).distinct()
+    return both.select("term", F.col("_ra").alias(f"{a}_raw"), F.col("_rb").alias(f"{b}_raw"), F.round("_na", 4).alias(f"{a}_norm"), F.round("_nb", 4).alias(f"{b}_norm"), F.round(F.col("_na") - F.col("_nb"), 4).alias("differential_norm")).orderBy(F.desc("differential_norm"), "term")
 
 
 def sentiment(df: DataFrame, key: str, tokens: Column, valence: dict[str, float] | None = None) -> DataFrame:

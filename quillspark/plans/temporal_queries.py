@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coordination as co
 from ..operators import temporal as ta
-from .registry import query, table
+from .registry import SQL, query, table
 
 
 def events(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -192,6 +192,14 @@ def ta_pairwise_coposts(spark, d):
     return co.pairwise_co_posts(events(spark, d))
 
 
+@query(f"""WITH e AS (SELECT *, time_bucket(INTERVAL 600 SECOND, ts, TIMESTAMP '1970-01-01') AS w FROM {E_}), p AS (SELECT w, entity, min(ts) AS f, arg_min(row_index, (ts, row_index)) AS fr FROM e GROUP BY w, entity),
+    r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY f, fr, entity) AS i, count(*) OVER (PARTITION BY w) AS k FROM p)
+    SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS copost_windows FROM r a JOIN r b ON a.w = b.w AND a.entity < b.entity WHERE a.i <= 20 AND b.i <= 20 AND a.k <= 200 GROUP BY 1, 2""")
+def ta_pairwise_coposts_compat(spark, d):
+    """The first twenty of each window of 200 entities at most."""
+    return co.pairwise_co_posts(events(spark, d), 600, most_entities=200, compat_first20=True)
+
+
 @query(f"""WITH e AS (SELECT entity, (epoch_us(ts) - lag(epoch_us(ts)) OVER o) / 1e6 AS gap, row_number() OVER o AS pos FROM {E_} WINDOW o AS (PARTITION BY entity ORDER BY ts, row_index)),
     c AS (SELECT entity, CAST(round_even(gap, 0) AS BIGINT) AS r, count(*) AS n, min(pos) AS f FROM e WHERE gap IS NOT NULL GROUP BY 1, 2),
     m AS (SELECT entity, r, n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, f) AS k FROM c) WHERE k = 1),
@@ -259,16 +267,34 @@ def ta_hashtag_storm_events(spark, d):
     return co.events_in_groups(e, co.amplification(e, "event_type"), "event_type")
 
 
-@query()
+_S = SQL
+
+
+@query(f"""SELECT * FROM (SELECT count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT entity) AS n_entities FROM {E_}),
+    (SELECT n_intervals, {', '.join(f'"{c}" AS interval_{c}' for c in ('min', 'p05', 'median', 'mean', 'p95', 'max', 'std', 'cv'))} FROM ({_S['ta_interval_stats']})),
+    {', '.join(f'({_S[n]})' for n in ('ta_pct_indicators', 'ta_duplicate_share', 'ta_burst_ratio', 'ta_minute_entropy', 'ta_minute_gini', 'ta_top_minute', 'ta_autocorr_at', 'ta_copost_share_total'))},
+    (SELECT count(*) AS near_simultaneous_windows, max(unique_entities) AS max_entities_in_window FROM ({_S['ta_near_sim_windows']}))""")
 def ta_indicators(spark, d):
     from .bundles import indicators
 
     return indicators(events(spark, d))
 
 
-@query("SELECT CAST(hour(ts) AS BIGINT) AS hour, count(*) AS count FROM events GROUP BY 1")
-def ta_orchestrate(spark, d):
-    """One table of the bundle; the others are queries of their own."""
-    from .bundles import temporal
+#: Tables of the bundle and the queries that give the same rows.
+BUNDLE = {"by_second": "ta_by_second", "by_minute": "ta_by_minute", "by_hour": "ta_by_hour", "by_dow": "ta_by_dow", "by_day_of_month": "ta_by_dom", "by_date": "ta_by_date", "intervals": "ta_intervals", "interval_stats": "ta_interval_stats", "interval_counts": "ta_interval_counts", "near_simultaneous_windows": "ta_near_sim_windows", "pairwise_coposts": "ta_pairwise_coposts", "entity_synchrony": "ta_entity_synchrony", "entity_jitter": "ta_entity_jitter", "entity_hour_profile": "ta_entity_hour_profile", "hashtag_storms": "ta_hashtag_storms", "autocorrelation": "ta_autocorr"}
 
-    return temporal(table(spark, d, "events"), "ts", "event_id", "user_id", hashtag="event_type")["by_hour"]
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM ({_S[q]})" for name, q in BUNDLE.items() if q in _S and name != "hashtag_storms") + " UNION ALL SELECT 'by_hour_' || hour, count FROM (" + _S["ta_by_hour"] + ") UNION ALL SELECT 'jitter_' || entity, n_events FROM (" + _S["ta_entity_jitter"] + ") UNION ALL SELECT 'pair_' || entity_a || '_' || entity_b, copost_windows FROM (" + _S["ta_pairwise_coposts"] + ")")
+def ta_orchestrate(spark, d):
+    """All tables of the bundle that have a query of their own, by their numbers of rows, and three of them by their values."""
+    from .bundles import TemporalOptions, temporal
+
+    t = temporal(table(spark, d, "events"), "ts", "event_id", "user_id", hashtag="event_type", options=TemporalOptions())
+    parts = [t[name].agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, q in BUNDLE.items() if q in SQL and name != "hashtag_storms"]
+    parts.append(t["by_hour"].select(F.concat(F.lit("by_hour_"), "hour"), "count"))
+    parts.append(t["entity_jitter"].select(F.concat(F.lit("jitter_"), "entity"), "n_events"))
+    parts.append(t["pairwise_coposts"].select(F.concat_ws("_", F.lit("pair"), "entity_a", "entity_b"), "copost_windows"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out

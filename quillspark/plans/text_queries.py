@@ -87,12 +87,12 @@ def lx_group_totals(spark, d):
     return lx.group_totals(docs(spark, d))
 
 
-@query(f"""WITH f AS {FREQ}, c AS (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY "group" ORDER BY count_raw DESC, term) AS r FROM f WHERE "group" IN ('en', 'de')) WHERE r <= 100),
+@query(f"""WITH f AS MATERIALIZED {FREQ}, c AS MATERIALIZED (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY "group" ORDER BY count_raw DESC, term) AS r FROM f WHERE "group" IN ('en', 'de')) WHERE r <= 100),
     j AS (SELECT term, coalesce(a.count_raw, 0) AS en_raw, coalesce(b.count_raw, 0) AS de_raw, coalesce(a.normalized_per_thousand, 0) AS a, coalesce(b.normalized_per_thousand, 0) AS b
         FROM c LEFT JOIN (SELECT * FROM f WHERE "group" = 'en') a USING (term) LEFT JOIN (SELECT * FROM f WHERE "group" = 'de') b USING (term))
     SELECT term, en_raw, de_raw, round(a, 4) AS en_norm, round(b, 4) AS de_norm, round(a - b, 4) AS differential_norm FROM j""")
 def lx_differential(spark, d):
-    return lx.differential(lx.frequency(docs(spark, d)), "en", "de")
+    return lx.differential(lx.frequency(docs(spark, d).where(F.col("group").isin("en", "de"))), "en", "de")
 
 
 VALENCE = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in lx.VALENCE.items()) + "}"
@@ -154,9 +154,12 @@ def lx_html_tweets(spark, d):
     return _tweets(spark, d).select("page_id", F.element_at(tx.tweets(F.col("html")), -1).alias("t")).select("page_id", "t.*")
 
 
-@query(TWEETS)
+@query(f"{TWEETS} UNION ALL SELECT page_id, 'https://twitter.com/other/status/9' || page_id, '9' || page_id, 'other', 'Second of ' || page_id FROM pages WHERE page_id % 2 = 0")
 def lx_embedded_tweets(spark, d):
-    return lx.embedded_tweets(_tweets(spark, d), "page_id", "html")
+    """Every second page embeds another post as well."""
+    second = F.concat(F.lit('<blockquote class="twitter-tweet" data-x="1"><p>Second of '), F.col("page_id"), F.lit('</p><a href="https://twitter.com/other/status/9'), F.col("page_id"), F.lit('">y</a></blockquote>'))
+    t = _tweets(spark, d).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", second)).otherwise(F.col("html")))
+    return lx.embedded_tweets(t, "page_id", "html")
 
 
 @query(f"""SELECT doc_id, text, array_to_string(regexp_extract_all(text, '@({W_}+)', 1), '; ') AS mentions, array_to_string(regexp_extract_all(text, '#({W_}+)', 1), '; ') AS hashtags,
@@ -245,25 +248,42 @@ def tx_counts(spark, d):
     return ex.counted(table(spark, d, "documents"), ex.pattern_matches(F.col("text"), r"\b[a-z]{3}ing\b"), "pattern")
 
 
+#: A profile's address on each platform, cut before the handle, and after it; and a wallet of each currency but for its last digit.
+PROFILES = (
+    ("Facebook", "https://www.facebook.com/", "?x=1"), ("YouTube", "http://youtube.com/channel/", "/videos"), ("Instagram", "https://instagram.com/", "/"), ("TikTok", "https://www.tiktok.com/@", "/"),
+    ("LinkedIn", "https://linkedin.com/in/", "/"), ("Telegram", "http://www.T.me/", "/2"), ("Douyin", "https://www.douyin.com/", "/"), ("QQ", "https://user.qzone.qq.com/", "/"), ("Snapchat", "https://snapchat.com/add/", ""),
+    ("Pinterest", "https://pinterest.com/", "/"), ("Reddit", "https://www.reddit.com/user/", "/"), ("Twitter", "https://TWITTER.com/", "/status/1"), ("imo", "https://imo.im/", "/"), ("Line", "https://line.me/R/ti/p/", ""),
+    ("Vevo", "https://vevo.com/", "/"), ("Discord", "https://discordapp.com/", "/"), ("Twitch", "https://www.twitch.tv/", ""), ("VK", "https://vk.com/", "/"), ("Parler", "https://parler.com/profile/", "/"), ("Gab", "https://gab.com/", "/"),
+    ("Odysee", "https://odysee.com/@", "/"), ("LBRY", "https://lbry.tv/@", "/"), ("Truth Social", "https://truthsocial.com/user/", "/"), ("BitChute", "https://www.bitchute.com/channel/", "/"), ("Gettr", "https://gettr.com/user/", "/"),
+    ("Rumble", "https://rumble.com/", "/"), ("Locals", "https://locals.com/", "/"), ("Apple Podcasts", "https://podcasts.apple.com/", "?i=2"), ("iHeartRadio", "https://www.iheart.com/us/podcast/", "/"), ("Google Play", "https://play.google.com/store/apps/details?id=", ""),
+)
+CURRENCIES = (
+    ("Bitcoin", "bc1" + "q" * 30), ("Ethereum", "0x" + "a" * 39), ("Litecoin", "L" + "x" * 30), ("Dogecoin", "D5" + "x" * 31), ("Monero", "4A" + "x" * 92), ("Ripple", "r" + "x" * 29), ("Solana", "7" + "x" * 41), ("Cardano", "addr1" + "q" * 57),
+)
+
+
 def _social(spark, d):
-    """Texts with profile links made from ids, since the documents hold none."""
+    """Texts with a profile link and a wallet each, made from ids, since the documents hold none."""
     i = F.col("doc_id")
-    t = F.concat("text", F.lit(" https://twitter.com/user_"), i % 9, F.lit(" http://www.T.me/chan-"), i % 4, F.lit("/2 https://youtube.com/channel/UC"), i % 3, F.lit("?x=1 0x"), F.lpad(F.hex(i % 16), 40, "a"))
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int")) if k is None else F.element_at(F.array(*(F.lit(v[k]) for v in values)), (i % len(values) + 1).cast("int"))
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), pick(PROFILES, 1), 1000 + i % 7, pick(PROFILES, 2), F.lit(" "), pick(CURRENCIES, 1), i % 9 + 1)
     return table(spark, d, "documents").select("doc_id", t.alias("text"))
 
 
-SOCIAL = """(SELECT doc_id, unnest([{'platform': 'YouTube', 'handle': 'UC' || (doc_id % 3)}, {'platform': 'Telegram', 'handle': 'chan-' || (doc_id % 4)}, {'platform': 'Twitter', 'handle': 'user_' || (doc_id % 9)}]) AS x FROM documents)"""
-WALLET = "(SELECT doc_id, '0x' || repeat('a', 39) || upper(to_hex(doc_id % 16)) AS w FROM documents)"
+SOCIAL = f"(SELECT doc_id, {[x for x, *_ in PROFILES]}[doc_id % {len(PROFILES)} + 1] AS platform, CAST(1000 + doc_id % 7 AS VARCHAR) AS handle FROM documents)"
+WALLET = f"(SELECT doc_id, {[x for x, _ in CURRENCIES]}[doc_id % {len(CURRENCIES)} + 1] AS currency, {[x for _, x in CURRENCIES]}[doc_id % {len(CURRENCIES)} + 1] || (doc_id % 9 + 1) AS wallet FROM documents)"
 
 
-@query(f"SELECT doc_id, x.platform AS platform, x.handle AS handle FROM {SOCIAL}")
+@query(f"SELECT doc_id, platform, handle FROM {SOCIAL}")
 def tx_social_profiles(spark, d):
     return _social(spark, d).select("doc_id", F.explode(ex.social_profiles(F.col("text"))).alias("x")).select("doc_id", "x.*")
 
 
-@query("SELECT doc_id, 'Telegram:chan-' || (doc_id % 4) AS match FROM documents")
+@query(f"SELECT doc_id, platform || ':' || handle AS match FROM {SOCIAL}")
 def tx_social_matcher(spark, d):
-    return _social(spark, d).select("doc_id", F.explode(ex.social_matches(F.col("text"), "Telegram")).alias("match"))
+    """Each platform's own matcher."""
+    matches = F.concat(*(ex.social_matches(F.col("text"), p) for p, *_ in PROFILES))
+    return _social(spark, d).select("doc_id", F.explode(matches).alias("match"))
 
 
 @query("SELECT doc_id, 'user' || doc_id AS handle FROM documents")
@@ -271,26 +291,32 @@ def tx_norm_handle(spark, d):
     return table(spark, d, "documents").select("doc_id", ex.normal_handle(F.concat(F.lit(" @user"), "doc_id", F.lit("/?tab=1 "))).alias("handle"))
 
 
-@query(f"SELECT doc_id, 'Ethereum' AS currency, w AS wallet FROM {WALLET}")
+@query(f"SELECT doc_id, currency, wallet FROM {WALLET}")
 def tx_crypto(spark, d):
-    return _social(spark, d).select("doc_id", F.explode(ex.wallets(F.col("text"))).alias("x")).select("doc_id", "x.*").where("currency = 'Ethereum'")
+    return _social(spark, d).select("doc_id", F.explode(ex.wallets(F.col("text"))).alias("x")).select("doc_id", "x.*")
+
+
+ING = r"\b[a-z]{3}ing\b"
 
 
-@query(f"""SELECT s.doc_id AS row_index, array_to_string(regexp_extract_all(d.text, '\\b[a-z]{{3}}ing\\b'), '; ') AS matches, CAST(len(regexp_extract_all(d.text, '\\b[a-z]{{3}}ing\\b')) AS BIGINT) AS match_count,
-    string_agg(x.platform || ':' || x.handle, '; ' ORDER BY CASE x.platform WHEN 'YouTube' THEN 1 WHEN 'Telegram' THEN 2 ELSE 3 END) AS social_profiles, count(*) AS social_profile_count FROM {SOCIAL} s JOIN documents d USING (doc_id) GROUP BY s.doc_id, d.text""")
+@query(f"""SELECT doc_id AS row_index, array_to_string(m, '; ') AS matches, CAST(len(m) AS BIGINT) AS match_count, platform || ':' || handle AS social_profiles, CAST(1 AS BIGINT) AS social_profile_count, currency || ':' || wallet AS crypto_wallets, CAST(1 AS BIGINT) AS crypto_wallet_count
+    FROM {SOCIAL} JOIN {WALLET} USING (doc_id) JOIN (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{ING}') AS m FROM documents) USING (doc_id)""")
 def tx_tabular_rows(spark, d):
-    return ex.tabular_rows(_social(spark, d), "text", "doc_id", r"\b[a-z]{3}ing\b").drop("text", "crypto_wallets", "crypto_wallet_count")
+    return ex.tabular_rows(_social(spark, d), "text", "doc_id", ING).drop("text")
 
 
-@query(f"SELECT x.platform AS platform, x.handle AS handle, count(*) AS count FROM {SOCIAL} GROUP BY 1, 2")
+@query(f"""SELECT 'MATCHES' AS name, unnest(regexp_extract_all(text, '{ING}')) AS value, '' AS more, count(*) AS count FROM documents GROUP BY 2
+    UNION ALL SELECT 'SOCIAL_PROFILES', platform, handle, count(*) FROM {SOCIAL} GROUP BY 2, 3 UNION ALL SELECT 'CRYPTO_WALLETS', currency, wallet, count(*) FROM {WALLET} GROUP BY 2, 3""")
 def tx_tabular_tables(spark, d):
-    return ex.tabular_tables(_social(spark, d), "text", r"\b[a-z]{3}ing\b")["SOCIAL_PROFILES"]
+    t = ex.tabular_tables(_social(spark, d), "text", ING)
+    m, s, w = t["MATCHES"], t["SOCIAL_PROFILES"], t["CRYPTO_WALLETS"]
+    as_one = lambda df, name, value, more: df.select(F.lit(name).alias("name"), F.col(value).alias("value"), more.alias("more"), "count")
+    return as_one(m, "MATCHES", "pattern", F.lit("")).union(as_one(s, "SOCIAL_PROFILES", "platform", F.col("handle"))).union(as_one(w, "CRYPTO_WALLETS", "currency", F.col("wallet")))
 
 
-@query(f"SELECT w AS wallet, count(*) AS count FROM {WALLET} GROUP BY 1")
+@query(f"SELECT currency, wallet, count(*) AS count FROM {WALLET} GROUP BY 1, 2")
 def tx_sheet(spark, d):
-    t = ex.tabular_tables(_social(spark, d), "text", "x")["CRYPTO_WALLETS"].where("currency = 'Ethereum'")
-    return ex.sheet(t, ["wallet", "count"])
+    return ex.sheet(ex.tabular_tables(_social(spark, d), "text", "x")["CRYPTO_WALLETS"], ["currency", "wallet", "count"])
 
 
 def _telegram(spark, d):
@@ -339,9 +365,9 @@ def bw_split_count(spark, d):
     return gr.split_counts(_cells(spark, d), ["Expanded URLs", "Media URLs"])
 
 
-@query(f"SELECT value, count(*) AS mentions FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[a-zA-Z0-9#@][\\p{{L}}\\p{{N}}_''@#]*'), lambda x: lower(x))) AS value FROM documents) WHERE length(value) > 1 AND value NOT IN {_in(lx.STOP_WORDS + gr.MORE_STOP_WORDS)} GROUP BY 1")
+@query(f"SELECT value, count(*) AS mentions FROM (SELECT unnest(list_transform(regexp_extract_all(text, '[a-zA-Z0-9#@][\\p{{L}}\\p{{N}}_''@#]*'), lambda x: lower(x))) AS value FROM documents) WHERE length(value) > 1 AND value NOT IN {_in(gr.STOP_WORDS)} GROUP BY 1")
 def bw_tokens(spark, d):
-    return gr.token_counts(table(spark, d, "documents"), "text", lx.STOP_WORDS + gr.MORE_STOP_WORDS)
+    return gr.token_counts(table(spark, d, "documents"), "text")
 
 
 @query("SELECT least(count(*), 100000) AS n FROM lineitem")
