@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ def build_query(site: Column, country: Column) -> Column:
 
 
 def preset_cross(countries: DataFrame, sites: DataFrame) -> DataFrame:
-    """Every country with every site (both lists are short: the sites are broadcast)."""
-    return countries.crossJoin(F.broadcast(sites)).select("country", "site", build_query(F.col("site"), F.col("country")).alias("query"))
+    """Every country with every site (two short lists; Spark broadcasts a side only below its size threshold)."""
+    return countries.crossJoin(sites).select("country", "site", build_query(F.col("site"), F.col("country")).alias("query"))
 
 
 PROFILE = "struct<platform:string,domain:string,is_profile:boolean,profile_type:string,profile_handle:string,normalized_profile_url:string>"
@@ -190,6 +191,40 @@ def candidate_urls(raw: Column, prefer_https: bool = True, path: str = "/") -> C
 PROBE = "url string, dns_ok boolean, resolved_ips array<string>, dns_error string, tcp_443_ok boolean, tcp_443_error string, tcp_80_ok boolean, tcp_80_error string, attempts array<struct<url:string,final_url:string,http_status:int,chain:array<string>,ms:double,error:string>>"
 
 
+def probe_all(sites: DataFrame, prober: Callable[[list[str]], dict], tasks: int | None = None) -> DataFrame:
+    """``site, candidates`` and the PROBE fields; one call for each distinct list of candidates. What a prober raises becomes its dns_error."""
+    schema = PROBE.replace("url string, ", "candidates array<string>, ", 1)
+    names = [p.strip().split(" ")[0] for p in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for c in pdf["candidates"]:
+                try:
+                    got = prober(list(c))
+                except Exception as e:  # noqa: BLE001 - the row carries it
+                    got = {"dns_ok": False, "dns_error": str(e) or type(e).__name__, "tcp_443_ok": False, "tcp_80_ok": False, "attempts": []}
+                rows.append({"candidates": list(c), **got})
+            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    asked = sites.select("candidates").where(F.size("candidates") > 0).distinct()
+    found = (asked.repartition(tasks) if tasks else asked).mapInPandas(run, schema)
+    return sites.select("site", "candidates").join(found, "candidates", "left").select("site", *names)
+
+
+def fetch_batches(urls: DataFrame, fetch: Callable[[str], dict], folder: str, batches: int = 16, schema: str = ANSWER) -> DataFrame:
+    """As :func:`fetch_all`, written batch by batch to ``folder``: after an abort a new call goes on with the batches that lack."""
+    spark = urls.sparkSession
+    place = F.pmod(F.xxhash64("url"), F.lit(batches))
+    for k in range(batches):
+        path = f"{folder}/batch={k}"
+        try:
+            spark.read.parquet(path)
+        except AnalysisException:  # nothing was committed there
+            fetch_all(urls.where(place == k), fetch, schema).write.mode("overwrite").parquet(path)
+    return spark.read.schema(f"{schema}, batch int").parquet(folder).drop("batch")
+
+
 def live_verdict(probes: DataFrame, require_http_ok: bool = False) -> DataFrame:
     """``site`` row by row: the first attempt that counts as live, or what went wrong. ``probes``: ``site, candidates`` and the PROBE fields."""
     ok = lambda a: a["error"].isNull() & (a["http_status"].isNotNull() | a["final_url"].isNotNull())
@@ -231,7 +266,10 @@ def download_manifest(pages: DataFrame, order: str) -> DataFrame:
 
     from ..functions.text import slug
 
-    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order))
+    # names and places only are numbered in one task, and pages join on their place
+    place = pages.select(order, "url").withColumn("_n", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order, "url"))).select(F.col(order).alias("_order"), F.col("url").alias("_url"), "_n")
+    pages = pages.join(place, pages[order].eqNullSafe(F.col("_order")) & pages["url"].eqNullSafe(F.col("_url")))
+    n = F.col("_n")
     body = F.coalesce("html", F.lit(""))
     name = F.concat(F.lpad(n.cast("string"), 3, "0"), F.lit("_"), slug(F.regexp_replace("url", "^https?://", "")), F.when(body.rlike(r"(?is)<html|<body|<!doctype"), ".html").otherwise(".txt"))
     return pages.select("url", F.when(F.col("error").isNull(), "ok").otherwise(F.col("error")).alias("status"), F.when(F.col("error").isNull(), name).otherwise(F.lit("")).alias("filename"), F.octet_length(body).cast("long").alias("bytes"))

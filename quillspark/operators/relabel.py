@@ -49,7 +49,7 @@ def sample(topics: DataFrame, id_field: str, depth: int, n: int, seed: int | Non
 def workbook_order(posts: DataFrame, labels: DataFrame, topic: str, row_index: str) -> DataFrame:
     """Posts in the order of the label table; within a topic as they were."""
     o = labels.select(F.col("nomic_label").alias("_l"), F.row_number().over(W.orderBy(F.desc("n_posts"), "topic_id")).alias("label_order"))
-    return posts.join(F.broadcast(o), posts[topic] == o["_l"], "left").drop("_l").orderBy(F.col("label_order").asc_nulls_last(), row_index)
+    return posts.join(o, posts[topic] == o["_l"], "left").drop("_l").orderBy(F.col("label_order").asc_nulls_last(), row_index)
 
 
 def read_labels(edited: DataFrame) -> DataFrame:

@@ -102,5 +102,27 @@ def merged(inputs: DataFrame, results: DataFrame, key: str) -> DataFrame:
 REGISTRY = {"x": {"posts": (parse_post, post_verdict), "accounts": (parse_account, account_verdict)}}
 
 
+def register(platform: str, hosts: str | None = None, **modes) -> None:
+    """Add a platform: ``mode=(parse, verdict)`` pairs of column functions, and a pattern of its addresses."""
+    REGISTRY.setdefault(platform, {}).update(modes)
+    if hosts:
+        HOSTS[platform] = hosts
+
+
+def check_posts(df: DataFrame, raw: str, fetch, platform: str = "x") -> DataFrame:
+    """``raw, post_id, status`` of posts: parsed, asked once for each id, and judged. ``fetch(post_id)`` gives an answer's http_status and error."""
+    from .links import fetch_all
+
+    parse, verdict = REGISTRY[platform]["posts"]
+    rows = df.select(raw).withColumn("post_id", parse(F.col(raw)))
+    got = fetch_all(rows.select(F.col("post_id").alias("url")), fetch).select(F.col("url").alias("_id"), "http_status", "error")
+    return rows.join(got, F.col("post_id") == F.col("_id"), "left").select(raw, "post_id", verdict(F.col("post_id"), F.col("http_status"), F.col("error")).alias("status"))
+
+
+def check_one(spark, raw: str, fetch, platform: str = "x") -> dict:
+    """A single post's id and status."""
+    return check_posts(spark.createDataFrame([(raw,)], "raw string"), "raw", fetch, platform).first().asDict()
+
+
 def supported(platform: str, mode: str) -> bool:
     return mode in REGISTRY.get(platform, {})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import enrich as en
@@ -44,8 +48,8 @@ def src_csv_sniff(spark, d):
 def src_json_array(spark, d):
     path = shared_folder(spark, "json")
     rows = _part(spark, d).groupBy((F.col("p_partkey") % 8).alias("g")).agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("r"))
-    rows.select(F.to_json("r").alias("value")).write.option("lineSep", "\n").text(path)
-    return spark.read.schema("p_partkey long, p_name string").json(path)
+    rows.select(F.to_json("r").alias("value")).repartition(8).write.option("lineSep", "\n").text(path)
+    return tables.json_array(spark, path).select("p_partkey", "p_name")
 
 
 @query("SELECT 'chat' || (conv_id % 3) AS name, count(*) AS messages FROM conversations GROUP BY 1")
@@ -119,12 +123,18 @@ def src_api_pages(spark, d):
     return api.read(spark, "quill_pages", keys).where("error IS NULL").select("key", "page", "item")
 
 
-@query("SELECT p_brand AS dimension, p_type AS value, count(*) AS mentions FROM part GROUP BY 1, 2")
+@query("SELECT p_brand AS dimension, p_type AS value, count(*) AS mentions FROM part, range(0, 2) r(i) GROUP BY 1, 2, r.i")
 def sink_csv_sections(spark, d):
     path = shared_folder(spark, "sections")
     long = table(spark, d, "part").groupBy(F.col("p_brand").alias("dimension"), F.col("p_type").alias("value")).agg(F.count("*").alias("mentions"))
     sinks.write_sections(long, path)
-    return spark.read.csv(path, header=True, schema="value string, mentions long, dimension string").select("dimension", "value", "mentions")
+    folders = spark.read.csv(path, header=True, schema="value string, mentions long, dimension string").select("dimension", "value", "mentions")
+    # the sections of one text say the same; both are given, and SQL has each row twice
+    out, section = [], None
+    for block in sinks.sections_text(folders.orderBy("dimension", "value")).split("\n\n"):
+        section, _, *lines = block.strip("\n").split("\n")
+        out += [(section, x.rpartition(",")[0].strip('"'), int(x.rpartition(",")[2])) for x in lines]
+    return folders.unionByName(spark.createDataFrame(out, "dimension string, value string, mentions long"))
 
 
 @query("SELECT string_agg(CASE WHEN contains(r_name, ' ') THEN '\"' || r_name || '\"' ELSE r_name END, ' OR ' ORDER BY r_regionkey) AS query FROM region")
@@ -156,17 +166,20 @@ def src_csv_encoding(spark, d):
     return tables.csv_encoded(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name")
 
 
-@query("SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS total FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def src_csv_chunked(spark, d):
     """A large table read in splits; nothing holds it whole."""
     path = shared_folder(spark, "chunks")
-    sinks.write_csv(table(spark, d, "lineitem").select("l_orderkey", "l_comment" if "l_comment" in table(spark, d, "lineitem").columns else "l_shipdate"), path)
-    return tables.csv_strings(spark, path).agg(F.count("*").alias("n"), F.sum(F.expr("try_cast(l_orderkey AS bigint)")).alias("total"))
+    sinks.write_csv(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), path)
+    return tables.csv_strings(spark, path).select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("l_quantity"))
 
 
-@query("SELECT '7' AS id, 'x' AS name UNION ALL SELECT '8', ''")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name || ', \"N\"' AS name FROM nation UNION ALL SELECT 'short', ''")
 def src_url_csv(spark, d):
-    return tables.csv_from_url(spark, "https://t.example/t.csv", lambda url: "id,name\n7,x\n8\n")
+    """The answer is a table as a service would give it, with quotes, commas and a short line."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").collect()
+    body = "id,name\n" + "".join('%s,"%s, ""N"""\n' % (r[0], r[1]) for r in rows) + "short\n"
+    return tables.csv_from_url(spark, "https://t.example/t.csv", lambda url: body)
 
 
 def _workbook(spark, sheets):
@@ -211,59 +224,126 @@ def _nation_graph(spark, d):
     return n, a.join(b, "n_regionkey").where("a < b").select("a", "b", F.lit(1).cast("long").alias("weight"))
 
 
-@query("SELECT (SELECT count(*) FROM nation) AS nodes, count(*) AS edges FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
+GRAPH = "SELECT 'node' AS kind, n_name AS a, '' AS b, CAST(NULL AS DOUBLE) AS weight FROM nation UNION ALL SELECT 'edge', a.n_name, b.n_name, 1.0::DOUBLE FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name"
+
+
+def _graph_rows(spark, text, value):
+    """Nodes and edges of a graph's XML, parsed back."""
+    from xml.etree import ElementTree
+
+    name = lambda e: e.tag.rpartition("}")[2]
+    every = list(ElementTree.fromstring(text.encode()).iter())
+    rows = [("node", e.get("id"), "", None) for e in every if name(e) == "node"]
+    rows += [("edge", e.get("source"), e.get("target"), float(value(e))) for e in every if name(e) == "edge"]
+    return spark.createDataFrame(rows, "kind string, a string, b string, weight double")
+
+
+@query(GRAPH)
 def sink_graphml(spark, d):
-    text = sinks.graphml(*_nation_graph(spark, d))
-    return spark.createDataFrame([(text.count("<node "), text.count("<edge "))], "nodes long, edges long")
+    return _graph_rows(spark, sinks.graphml(*_nation_graph(spark, d)), lambda e: e[0].text)
 
 
-@query("SELECT (SELECT count(*) FROM nation) AS nodes, count(*) AS edges FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name")
+@query(GRAPH)
 def sink_gexf(spark, d):
     n, e = _nation_graph(spark, d)
     text = sinks.gexf(n.select(F.col("term").alias("address"), F.col("term").alias("label")), e.select(F.col("a").alias("from"), F.col("b").alias("to"), F.col("weight").alias("count")))
-    return spark.createDataFrame([(text.count("<node "), text.count("<edge "))], "nodes long, edges long")
+    return _graph_rows(spark, text, lambda e: e.get("weight"))
 
 
 @query("SELECT url, octet_length(encode(html)) AS bytes FROM pages")
 def sink_zip_manifest(spark, d):
+    """The archive is written, opened again, and its manifest's files are measured."""
+    import csv
+    import io
+    import zipfile
+
     p = table(spark, d, "pages").select("page_id", "url", "html", F.lit(None).cast("string").alias("error"))
-    return ln.download_manifest(p, "page_id").select("url", "bytes")
+    held = io.BytesIO()
+    sinks.write_archive(ln.download_manifest(p, "page_id"), p, held)
+    with zipfile.ZipFile(held) as z:
+        rows = [(r["url"], len(z.read(r["filename"]))) for r in csv.DictReader(io.StringIO(z.read("manifest.csv").decode()))]
+    return spark.createDataFrame(rows, "url string, bytes long")
 
 
-@query("SELECT s AS value, s IN ('1', 'on', 'Yes') AS truthy FROM (SELECT unnest(['1', 'on', 'Yes', 'no', '']) AS s)")
-def lx_truthy(spark, d):
-    return spark.createDataFrame([(v, lx.truthy(v)) for v in ("1", "on", "Yes", "no", "")], "value string, truthy boolean")
+@query("SELECT page_id, base64(encode(url)) AS content FROM pages")
+def sink_b64(spark, d):
+    return sinks.as_base64(table(spark, d, "pages").select("page_id", F.col("url").cast("binary").alias("content")), "content")
 
 
-def _pictures(spark, d):
-    """Rows as the image source gives them: grey pictures of 32 x 32, from embeddings."""
-    import pandas as pd
+@query("SELECT 'https://h.example/' || c_custkey AS url, CAST(200 AS INTEGER) AS http_status FROM customer")
+def sink_checkpoint(spark, d):
+    """Fetched in batches; the second call finds all of them done and asks nothing."""
+    urls = table(spark, d, "customer").select(F.concat(F.lit("https://h.example/"), "c_custkey").alias("url"))
+    folder = shared_folder(spark, "fetched")
+    ln.fetch_batches(urls, lambda u: {"final_url": u, "http_status": 200, "chain": [u], "content_type": "", "html": "", "ms": 0.0, "error": None}, folder, 4)
+    return ln.fetch_batches(urls, lambda u: {"http_status": 500}, folder, 4).select("url", "http_status")
+
 
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    image = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+@query("SELECT p_partkey AS id, p_name AS text FROM part")
+def sink_atlas_upload(spark, d):
+    """Rows are checked, sent in batches by the tasks to an injected client (here: a table), and counted."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    folder = tempfile.mkdtemp(prefix="quillspark-sent-")
 
-    def draw(frames):
-        import numpy as np
+    def client(batch):
+        with open(f"{folder}/{uuid.uuid4().hex}.json", "w") as f:
+            f.write("".join(json.dumps(r) + "\n" for r in batch))
 
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples():
-                v = np.array(r.embedding)[:32]
-                grey = np.clip(128 + 200 * np.outer(v, v[::-1]) * 8, 0, 255).astype("uint8")
-                rows.append({"origin": f"img{r.vec_id}", "height": 32, "width": 32, "nChannels": 1, "mode": 0, "data": grey.tobytes()})
-            yield pd.DataFrame({"image": rows})
+    done = []
+    sent = sinks.upload(rows, client, 500, "id", "text", lambda: done.append("created"), lambda c: done.append(f"index on {c}"))
+    back = spark.read.schema("id long, text string").json(folder)
+    if done != ["created", "index on text"] or sent != rows.count():
+        raise ValueError("the upload is not whole")
+    return back
 
-    return e.mapInPandas(draw, image)
 
+@query("SELECT s AS value, s IN ('1', 'on', 'Yes') AS truthy FROM (SELECT unnest(['1', 'on', 'Yes', 'no', '']) AS s)")
+def lx_truthy(spark, d):
+    return spark.createDataFrame([(v, lx.truthy(v)) for v in ("1", "on", "Yes", "no", "")], "value string, truthy boolean")
 
-@query("SELECT 'img' || vec_id AS name, CAST(4 AS INTEGER) AS parts FROM embeddings")
+
+def _png(pixels) -> bytes:
+    """A grey picture as a PNG file."""
+    import struct
+    import zlib
+
+    h, w = pixels.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def _pictures(spark, d):
+    """PNG files in a folder, read by Spark's image source: 25 pictures of waves, each as a small and a large one and a brighter one."""
+    import numpy as np
+
+    names = [r["n_nationkey"] for r in table(spark, d, "nation").select("n_nationkey").collect()]
+    folder = tempfile.mkdtemp(prefix="quillspark-pictures-")
+    for k in names:
+        rng = np.random.default_rng(k)
+        waves = rng.standard_normal((20, 20)) / (1 + np.add.outer(np.arange(20), np.arange(20)))
+        for kind, n, more in (("a", 96, 0), ("b", 192, 0), ("c", 96, 12)):
+            x = np.cos(np.pi * np.outer(np.arange(20), np.arange(n) + 0.5) / n)
+            grey = x.T @ waves @ x
+            grey = 40 + 160 * (grey - grey.min()) / (grey.max() - grey.min()) + more
+            with open(f"{folder}/{k}{kind}.png", "wb") as f:
+                f.write(_png(np.round(grey).astype(np.uint8)))
+    return spark.read.format("image").load(folder)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS picture, kind, true AS near_own, true AS far_from_others FROM nation, (SELECT unnest(['b', 'c']) AS kind)")
 def im_phash(spark, d):
-    return im.hash_images(_pictures(spark, d)).select("name", F.size("hash").alias("parts"))
+    """Larger and brighter pictures have the hash of the first within 15 bits, and no other picture has."""
+    h = im.hash_images(_pictures(spark, d)).select(F.regexp_extract("name", r"(\d+)[abc]\.png$", 1).alias("picture"), F.regexp_extract("name", r"([abc])\.png$", 1).alias("kind"), "hash")
+    first = h.where("kind = 'a'").select(F.col("picture").alias("other"), F.col("hash").alias("first"))
+    apart = h.where("kind <> 'a'").join(first).withColumn("bits", im.hamming(F.col("hash"), F.col("first")))
+    own = F.col("picture") == F.col("other")
+    return apart.groupBy("picture", "kind").agg(F.max(F.when(own, F.col("bits") <= 15)).alias("near_own"), F.min(F.when(~own, F.col("bits") > 15)).alias("far_from_others"))
 
 
-@query("SELECT count(*) AS images FROM embeddings")
+@query("SELECT n_nationkey || kind || '.png' AS name, size AS height, size AS width, CAST(1 AS INTEGER) AS channels FROM nation, (SELECT unnest(['a', 'b', 'c']) AS kind, unnest([96, 192, 96]) AS size)")
 def src_images(spark, d):
-    return _pictures(spark, d).agg(F.count("*").alias("images"))
+    return _pictures(spark, d).select(F.regexp_extract("image.origin", "([^/]+)$", 1).alias("name"), "image.height", "image.width", F.col("image.nChannels").alias("channels"))
 
 
 @query("SELECT c_custkey, i AS band, (c_custkey >> (16 * i)) & 65535 AS key FROM customer, range(0, 4) r(i)")
@@ -282,56 +362,57 @@ def url_is_http(spark, d):
 # services, by transports without a network
 
 
-def _service(spark, name, schema, page, keys):
-    api.register(spark, name, schema, lambda key, cursor: page(key, cursor or 0))
-    return api.read(spark, name, keys)
+def _service(keys, schema, page):
+    """Pages of each key of a one-column table, by a transport without a network."""
+    return api.read_keys(keys, schema, lambda key, cursor: page(key, cursor or 0)).where("error IS NULL")
 
 
-@query("SELECT n_name AS search_term, count(*) AS items_collected FROM nation, range(0, 6) GROUP BY 1")
+@query("SELECT n_name AS search_term, n_name || '-' || (i // 3) || '-' || (i % 3) AS id FROM nation, range(0, 6) r(i)")
 def src_api_ads(spark, d):
-    ads = _service(spark, "quill_ads", "id string", lambda k, c: (200, [(f"{k}-{c}-{i}",) for i in range(3)], c + 1 if c < 1 else None), [r["n_name"] for r in table(spark, d, "nation").collect()])
-    return ads.groupBy(F.col("key").alias("search_term")).agg(F.count("id").alias("items_collected"))
+    ads = _service(table(spark, d, "nation").select("n_name"), "id string", lambda k, c: (200, [(f"{k}-{c}-{i}",) for i in range(3)], c + 1 if c < 1 else None))
+    return ads.select(F.col("key").alias("search_term"), "id")
 
 
-@query("SELECT 'https://site' || n_nationkey || '.example/wp-json/wp/v2/posts' AS endpoint, count(*) AS posts FROM nation, range(0, 4) GROUP BY 1")
+@query("SELECT 'https://site' || n_nationkey || '.example/wp-json/wp/v2/posts' AS endpoint, i AS id, 't' || (i % 2) AS title FROM nation, range(0, 4) r(i)")
 def src_api_wp(spark, d):
-    ends = [r[0] for r in table(spark, d, "nation").select(en.endpoint(F.concat(F.lit("site"), "n_nationkey", F.lit(".example")))).collect()]
-    posts = _service(spark, "quill_wp", "id long, title string", lambda k, c: (200, [(c * 2 + i, "t") for i in range(2)], c + 1 if c < 1 else None), ends)
-    return posts.groupBy(F.col("key").alias("endpoint")).agg(F.count("id").alias("posts"))
+    ends = table(spark, d, "nation").select(en.endpoint(F.concat(F.lit("site"), "n_nationkey", F.lit(".example"))).alias("e"))
+    posts = _service(ends, "id long, title string", lambda k, c: (200, [(c * 2 + i, f"t{i}") for i in range(2)], c + 1 if c < 1 else None))
+    return posts.select(F.col("key").alias("endpoint"), "id", "title")
 
 
 @query("SELECT '\"' || n_name || ' state-controlled media\" site:facebook.com' AS query, i + 1 AS position FROM nation, range(0, 4) r(i)")
 def src_api_serp(spark, d):
-    asked = [r["query"] for r in ln.preset_cross(table(spark, d, "nation").select(F.col("n_name").alias("country")), spark.createDataFrame([("facebook.com",)], "site string")).collect()]
-    hits = _service(spark, "quill_serp", "position long, link string", lambda k, c: (200, [(c * 2 + i + 1, "https://facebook.com/p") for i in range(2)], c + 1 if c < 1 else None), asked)
+    asked = ln.preset_cross(table(spark, d, "nation").select(F.col("n_name").alias("country")), spark.createDataFrame([("facebook.com",)], "site string")).select("query")
+    hits = _service(asked, "position long, link string", lambda k, c: (200, [(c * 2 + i + 1, "https://facebook.com/p") for i in range(2)], c + 1 if c < 1 else None))
     return hits.select(F.col("key").alias("query"), "position")
 
 
 @query("SELECT 'c' || c_custkey AS base_wallet, count(*) AS legs FROM customer, range(0, 3) GROUP BY 1")
 def src_api_transfers(spark, d):
-    keys = [f"c{r['c_custkey']}" for r in table(spark, d, "customer").collect()]
-    raw = _service(spark, "quill_transfers", "body string", lambda k, c: (200, [('{"hash":"h%d","fromAddress":{"address":"%s"},"toAddress":{"address":"z"}}' % (c, k),)], c + 1 if c < 2 else None), keys)
+    keys = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("k"))
+    raw = _service(keys, "body string", lambda k, c: (200, [('{"hash":"h%d","fromAddress":{"address":"%s"},"toAddress":{"address":"z"}}' % (c, k),)], c + 1 if c < 2 else None))
     legs = cr.flatten_legs(raw.select(F.from_json("body", cr.TRANSFER).alias("transfer"), F.lit("out").alias("direction"), F.col("key").alias("base_wallet")))
     return legs.groupBy("base_wallet").agg(F.count("*").alias("legs"))
 
 
 @query("SELECT 'u' || c_custkey AS value, 'Q' || c_custkey AS qid FROM customer")
 def src_api_sparql(spark, d):
-    keys = [f"u{r['c_custkey']}" for r in table(spark, d, "customer").collect()]
-    return _service(spark, "quill_sparql", "qid string", lambda k, c: (200, [("Q" + k[1:],)], None), keys).select(F.col("key").alias("value"), "qid")
+    keys = table(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("k"))
+    return _service(keys, "qid string", lambda k, c: (200, [("Q" + k[1:],)], None)).select(F.col("key").alias("value"), "qid")
 
 
 @query("SELECT 'Q' || c_custkey AS qid, 'P1' AS property, 'v' || c_custkey AS value FROM customer")
 def src_api_entity(spark, d):
-    keys = [f"Q{r['c_custkey']}" for r in table(spark, d, "customer").collect()]
-    raw = _service(spark, "quill_entity", "claims string", lambda k, c: (200, [('{"P1":[{"snaktype":"value","value":"\\"v%s\\""}],"P8":[]}' % k[1:],)], None), keys)
+    keys = table(spark, d, "customer").select(F.concat(F.lit("Q"), "c_custkey").alias("k"))
+    raw = _service(keys, "claims string", lambda k, c: (200, [('{"P1":[{"snaktype":"value","value":"\\"v%s\\""}],"P8":[]}' % k[1:],)], None))
     return en.claims(raw.select(F.col("key").alias("qid"), F.from_json("claims", "map<string,array<struct<snaktype:string,value:string>>>").alias("claims")), ["P1"])
 
 
 @query("SELECT p_partkey AS id, p_brand AS topic FROM part")
 def src_api_topics(spark, d):
-    of = {r["p_partkey"]: r["p_brand"] for r in table(spark, d, "part").collect()}
-    rows = _service(spark, "quill_topics", "id long, topic string", lambda k, c: (200, [(i, of[i]) for i in sorted(of)[c * 100 : c * 100 + 100]], c + 1 if (c + 1) * 100 < len(of) else None), ["map"])
+    # a service that answers with a topic for an id: here the brand that goes with it, by the key
+    keys = table(spark, d, "part").select(F.concat_ws("|", "p_partkey", "p_brand").alias("k"))
+    rows = _service(keys, "id long, topic string", lambda k, c: (200, [(int(k.partition("|")[0]), k.partition("|")[2])], None))
     return rows.select("id", "topic")
 
 
@@ -383,11 +464,12 @@ def nr_inspect(spark, d):
     return nr.depth_summary(t, metadata(spark, d)).where("depth = 2").select(F.lit(t.count()).cast("long").alias("rows"), "topics")
 
 
-@query("SELECT topic, count(*) AS n FROM (SELECT p_brand AS topic, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 3 GROUP BY 1")
+@query("""SELECT p_brand AS topic, p_partkey, p_name, CAST(label_order AS INTEGER) AS label_order FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)
+    JOIN (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, min(p_partkey)) AS label_order FROM part GROUP BY 1) USING (p_brand) WHERE r <= 3""")
 def nr_export(spark, d):
     """Sampled posts with their rows, in the order of the label table."""
     from .misc_queries import metadata, topics
 
     t = topics(spark, d)
     rows = nr.sample(t, "p_partkey", 2, 3, None).join(table(spark, d, "part"), "p_partkey", "left")
-    return nr.workbook_order(rows, nr.label_table(t, metadata(spark, d), 2), "topic", "p_partkey").groupBy("topic").agg(F.count("*").alias("n"))
+    return nr.workbook_order(rows, nr.label_table(t, metadata(spark, d), 2), "topic", "p_partkey").select("topic", "p_partkey", "p_name", "label_order")

@@ -6,7 +6,9 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: A transport takes (key, cursor) and gives (status, rows, next cursor or None).
@@ -48,6 +50,25 @@ def pages(key: str, transport: Transport, paging: Paging) -> Iterator[tuple[list
         cursor = after
         if paging.pause:
             time.sleep(paging.pause)
+    yield [], f"more than {paging.max_pages} pages"
+
+
+def read_keys(keys: DataFrame, schema: str, transport: Transport, paging: Paging | None = None) -> DataFrame:
+    """``key, error`` and the schema's columns for each distinct value of the first column of ``keys``, which stays distributed."""
+    paging = paging or Paging()
+    key = keys.columns[0]
+    width = len([p for p in schema.split(",") if p.strip()])
+    names = ["key", "error", *(p.split()[0] for p in schema.split(",") if p.strip())]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for k in pdf["key"]:
+                for rows, error in pages(k, transport, paging):
+                    got = [(k, None, *r) for r in rows] + ([(k, error, *(None,) * width)] if error is not None else [])
+                    yield pd.DataFrame(got, columns=names, dtype=object)
+
+    asked = keys.select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct()
+    return asked.repartition(paging.partitions, "key").mapInPandas(run, f"key string, error string, {schema}")
 
 
 def register(spark: SparkSession, name: str, schema: str, transport: Transport, paging: Paging | None = None) -> None:

@@ -7,6 +7,7 @@ import json
 import zipfile
 from xml.sax.saxutils import quoteattr
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,17 +91,49 @@ def preview(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n) if order else df.limit(n)
 
 
-def upload(df: DataFrame, client, batch: int = 10_000) -> None:
-    """Send rows in batches from the executors; ``client(rows)`` is picklable."""
-
-    def send(rows) -> None:
-        held = []
-        for r in rows:
-            held.append(r.asDict(recursive=True))
-            if len(held) >= batch:
-                client(held)
-                held = []
-        if held:
-            client(held)
-
-    df.foreachPartition(send)
+def as_base64(df: DataFrame, content: str) -> DataFrame:
+    """Binary cells as text, as a page embeds them."""
+    return df.withColumn(content, F.base64(F.col(content)))
+
+
+#: Types that an index takes as they are; others have to be made text first.
+UPLOAD_TYPES = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+
+
+def preflight(df: DataFrame, id_field: str, indexed_field: str) -> None:
+    """Raise before anything is created: columns that lack, types an index doesn't take, ids that are blank or repeat, no rows."""
+    lacking = [c for c in (id_field, indexed_field) if c not in df.columns]
+    if lacking:
+        raise ValueError(f"no column {lacking[0]}; there are {', '.join(df.columns[:10])}")
+    wrong = [f"{c} ({t})" for c, t in df.dtypes if t not in UPLOAD_TYPES]
+    if wrong:
+        raise ValueError(f"types an index doesn't take: {', '.join(wrong)}")
+    blank = F.coalesce(F.trim(F.col(id_field).cast("string")), F.lit("")) == ""
+    seen = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(blank.cast("int")), F.lit(0)).alias("blank")).first()
+    if not seen["n"]:
+        raise ValueError("no rows")
+    if seen["blank"] or not df.groupBy(id_field).count().where("count > 1").isEmpty():
+        raise ValueError(f"{id_field} is blank or repeats")
+
+
+def upload(df: DataFrame, client, batch: int = 10_000, id_field: str | None = None, indexed_field: str | None = None, create=None, index=None) -> int:
+    """Send rows in batches from the executors; ``client(rows)`` is picklable. Gives the number of rows.
+
+    With ``id_field`` and ``indexed_field`` the rows are checked first; ``create()`` runs after that, ``index(indexed_field)`` once all is sent.
+    """
+    if id_field and indexed_field:
+        preflight(df, id_field, indexed_field)
+    if create:
+        create()
+
+    def send(batches):
+        for rows in batches:
+            held = rows.to_pylist()
+            for at in range(0, len(held), batch):
+                client(held[at : at + batch])
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)])], names=["n"])
+
+    sent = df.mapInArrow(send, "n long").agg(F.sum("n")).first()[0] or 0
+    if index:
+        index(indexed_field)
+    return sent
