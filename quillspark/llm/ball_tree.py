@@ -1,14 +1,15 @@
 """Exact top-k inner-product search by ball trees, branch and bound.
 
-Rows are dealt by hash into shards of bounded size, each packed into one row that holds its ball tree. Queries are
-packed into blocks. A block first searches its home shard; the k-th best score it finds there is then shared with its
-searches of all other shards, which cut every node whose upper bound (q.c + |q| r) lies below it. Nodes are visited in
-the order of their upper bounds. A tile (block x shard) is the unit of work, so memory per task does not grow.
+Rows are dealt into cells around coarse centres (learnt from a bounded sample; they only shape the shards) and cells into shards
+of bounded size, each packed into one row that holds its ball tree. A small table has every shard's ball. Queries of a cell form
+blocks. A block first searches the few shards with the highest upper bounds (q.c + |q| r), best first, each under the k-th score of
+those before; then all shards whose ball can still hold a row above some query's k-th score, in groups that pass on the k-th score.
+Inside a shard, nodes are visited in the order of their upper bounds, and cut where these lie below the k-th score.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; ties go to the smaller id;
 rows that repeat an id are candidates of their own (and none of them is a candidate of a query with that id);
 vectors of another dimension than a query's never match it; a score beyond 64 bits is given as the nearest
-64-bit number; an empty table gives an empty table.
+64-bit number; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 2048, 256
+#: Cells and the rows from which their centres are learnt; shards (a shard grows beyond that many); shards searched first, and shards a task searches then.
+CELLS, SAMPLE, MOST_SHARDS, FIRST, GROUP = 1024, 16_384, 65_536, 4, 8
 NONE = -(2**63)
 
 
@@ -131,47 +134,112 @@ def _plain(queries, query_ids, floor, ids, vectors, k):
 def _pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
     v = np.stack(pdf["v"].to_numpy()).astype(np.int64)
     data, kind = packed(v)
-    return pd.DataFrame({"dim": [v.shape[1]], "block": [int(pdf["block"].iloc[0])], "q_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [data], "q_kind": [kind]})
+    return pd.DataFrame({"dim": [v.shape[1]], "block": [int(pdf["block"].iloc[0])], "q_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [data], "q_kind": [kind], "floor": [np.full(len(v), NONE, np.int64).tobytes()]})
 
 
 def _pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     v = np.stack(pdf["v"].to_numpy()).astype(np.int64)
     order, centres, radii, nodes = build(v)
     data, kind = packed(v[order])
-    return pd.DataFrame({"dim": [v.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64)[order].tobytes()], "v": [data], "v_kind": [kind], "centres": [centres.tobytes()], "radii": [radii.tobytes()], "nodes": [nodes.tobytes()]})
+    return pd.DataFrame({"dim": [v.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64)[order].tobytes()], "v": [data], "v_kind": [kind], "centres": [centres.tobytes()], "radii": [radii.tobytes()], "nodes": [nodes.tobytes()], "ball": [np.append(centres[0], radii[0]).tobytes()]})
 
 
-def _tile(r, k: int, floor: np.ndarray):
-    dim = int(r.dim)
-    q = np.frombuffer(r.q, r.q_kind).reshape(-1, dim)
-    q_ids = np.frombuffer(r.q_ids, np.int64)
-    v = np.frombuffer(r.v, r.v_kind).reshape(-1, dim)
-    tree = np.frombuffer(r.centres).reshape(-1, dim), np.frombuffer(r.radii), np.frombuffer(r.nodes, np.int64).reshape(-1, 4)
-    return q_ids, *search(q, q_ids, floor, np.frombuffer(r.ids, np.int64), v, tree, k)
+def _centres(vectors: DataFrame, n: int, cells: int) -> dict[int, np.ndarray]:
+    """Of each dimension: centres around which rows lie, by a few rounds of k-means over a bounded sample."""
+    place = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 30))
+    rows = vectors.where(place < max(1, int((1 << 30) * min(1.0, SAMPLE / max(n, 1))))).select("dim", "vec_id", "v").limit(2 * SAMPLE).toPandas().sort_values("vec_id", kind="stable")
+    out = {}
+    for dim, own in rows.groupby("dim"):
+        x = np.unique(np.stack(own["v"].to_numpy()).astype(np.float64), axis=0)
+        c = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+        for _ in range(5):
+            at = _nearest(x, c)
+            total = np.zeros_like(c)
+            np.add.at(total, at, x)
+            k = np.bincount(at, minlength=len(c))
+            c[k > 0] = total[k > 0] / k[k > 0, None]
+        out[int(dim)] = c
+    return out
 
 
-def _home(k: int):
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half = 0.5 * (c**2).sum(1)
+    return np.concatenate([(x[lo : lo + 1024] @ c.T - half).argmax(1) for lo in range(0, len(x), 1024)]) if len(x) else np.zeros(0, np.int64)
+
+
+def _with_cell(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast(centres)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for r in pdf.itertuples():
-                n = len(r.q_ids) // 8
-                _, row, ids, score = _tile(r, k, np.full(n, NONE, np.int64))
-                floor = np.full(n, NONE, np.int64)
-                full = np.flatnonzero(np.bincount(row, minlength=n) == k)
-                least = np.full(n, 2**63 - 1, np.int64)
-                np.minimum.at(least, row, score)
-                floor[full] = least[full]
-                yield pd.DataFrame({"dim": [r.dim], "block": [r.block], "home": [r.shard], "q_ids": [r.q_ids], "q": [r.q], "q_kind": [r.q_kind], "floor": [floor.tobytes()], "f_row": [row.astype(np.int64).tobytes()], "f_id": [ids.tobytes()], "f_score": [score.tobytes()]})
+            cell = np.zeros(len(pdf), np.int32)
+            for dim in pdf["dim"].unique():
+                if int(dim) in sent.value:
+                    mine = (pdf["dim"] == dim).to_numpy()
+                    cell[mine] = _nearest(np.stack(pdf["v"][mine].to_numpy()).astype(np.float64), sent.value[int(dim)])
+            yield pdf.assign(cell=cell)
 
-    return run
+    return vectors.mapInPandas(run, "vec_id long, v array<long>, dim int, asks boolean, cell int")
+
+
+def _bounds(r, centres: np.ndarray, radii: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Upper bounds of a block's queries in shards, some shards at a time."""
+    q = np.frombuffer(r.q, r.q_kind).reshape(-1, int(r.dim)).astype(np.float64)
+    length = np.sqrt((q**2).sum(1))
+    for lo in range(0, len(radii), 512):
+        u = q @ centres[lo : lo + 512].T + length[:, None] * radii[lo : lo + 512]
+        yield lo, u + 1e-6 * (1 + np.abs(u))
 
 
-def _others(k: int):
+ASK = "dim int, block int, q_ids binary, q binary, q_kind string, floor binary"
+
+
+def _choose(blocks: DataFrame, balls, first: bool) -> DataFrame:
+    """``ASK`` and ``shard, place, task``: the shards that each block searches first, or those that it must still search."""
+    sent = blocks.sparkSession.sparkContext.broadcast(balls)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for r in pdf.itertuples():
-                q_ids, row, ids, score = _tile(r, k, np.frombuffer(r.floor, np.int64))
-                yield pd.DataFrame({"query_id": q_ids[row], "vec_id": ids, "score": score})
+            for r in pdf.itertuples(index=False):
+                shards, centres, radii = sent.value.get(int(r.dim), (np.zeros(0, np.int64), np.zeros((0, int(r.dim))), np.zeros(0)))
+                floor = np.frombuffer(r.floor, np.int64).astype(np.float64)
+                best, open_ = np.zeros(len(shards)), np.zeros(len(shards), bool)
+                for lo, u in _bounds(r, centres, radii):
+                    best[lo : lo + u.shape[1]] = u.max(0)
+                    open_[lo : lo + u.shape[1]] = (u >= floor[:, None]).any(0)
+                order = np.argsort(-best, kind="stable")
+                order = order[:FIRST] if first else order[FIRST:][open_[order[FIRST:]]]
+                for lo in range(0, len(order), GROUP):
+                    part = order[lo : lo + GROUP]
+                    yield pd.DataFrame({c: [getattr(r, c)] * len(part) for c in ("dim", "block", "q_ids", "q", "q_kind", "floor")} | {"shard": shards[part], "place": np.arange(lo, lo + len(part)), "task": lo // GROUP})
+
+    return blocks.mapInPandas(run, f"{ASK}, shard int, place int, task int")
+
+
+def _searched(k: int):
+    """A block's shards one after another, each under the k-th scores of those before."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        top = pdf.iloc[0]
+        dim = int(top.dim)
+        q, q_ids, floor = np.frombuffer(top.q, top.q_kind).reshape(-1, dim), np.frombuffer(top.q_ids, np.int64), np.frombuffer(top.floor, np.int64).copy()
+        rows, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
+        for r in pdf.itertuples(index=False):
+            v = np.frombuffer(r.v, r.v_kind).reshape(-1, dim)
+            tree = np.frombuffer(r.centres).reshape(-1, dim), np.frombuffer(r.radii), np.frombuffer(r.nodes, np.int64).reshape(-1, 4)
+            a, b, c = search(q, q_ids, floor, np.frombuffer(r.ids, np.int64), v, tree, k)
+            rows, ids, scores = np.concatenate([rows, a]), np.concatenate([ids, b]), np.concatenate([scores, c])
+            order = np.lexsort((ids, -scores, rows))
+            rows, ids, scores = rows[order], ids[order], scores[order]
+            begin = np.searchsorted(rows, np.arange(len(q) + 1))
+            keep = np.arange(len(rows)) - begin[rows] < k
+            rows, ids, scores = rows[keep], ids[keep], scores[keep]
+            many = np.bincount(rows, minlength=len(q))
+            end = np.cumsum(many)
+            full = many == k
+            floor[full] = np.maximum(floor[full], scores[end[full] - 1])
+        return pd.DataFrame({"dim": [dim], "block": [top.block], "q_ids": [top.q_ids], "q": [top.q], "q_kind": [top.q_kind], "floor": [floor.tobytes()], "f_row": [rows.tobytes()], "f_id": [ids.tobytes()], "f_score": [scores.tobytes()]})
 
     return run
 
@@ -191,27 +259,45 @@ def integer_vectors(embeddings: DataFrame, scale: float = 64.0) -> DataFrame:
     return embeddings.where(e.isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``. ``vectors``: ``vec_id, v`` (integers); every row but the query's own is a candidate."""
+def _dealt(spark: SparkSession, counts, rows: int) -> DataFrame:
+    """``d_dim, d_cell, first, parts``: numbers of the pieces, of some ``rows`` rows each, into which each cell goes."""
+    out, at = [], 0
+    for r in sorted(counts, key=lambda r: (r["dim"], r["cell"])):
+        parts = -(-r["n"] // rows)
+        out.append((r["dim"], r["cell"], at, parts))
+        at += parts
+    return spark.createDataFrame(out, "d_dim int, d_cell int, first int, parts int")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, met: list | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``. ``vectors``: ``vec_id, v`` (integers); every row but the query's own is a candidate.
+
+    ``met`` gets the numbers of (blocks, shards, pairs of both that are searched).
+    """
     spark = vectors.sparkSession
-    vectors = written(vectors.withColumn("dim", F.size("v")), "topk-vectors")
-    queries = vectors.where(is_query)
-    n_shards, n_blocks = 1 + (vectors.count() - 1) // shard_rows, 1 + (queries.count() - 1) // query_rows
-    n_shards, n_blocks = max(1, n_shards), max(1, n_blocks)
-    by = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    shards = vectors.withColumn("shard", by(n_shards, 1)).groupBy("dim", "shard").applyInPandas(_pack_shard, "dim int, shard int, ids binary, v binary, v_kind string, centres binary, radii binary, nodes binary")
-    shards = written(shards, "topk-shards")
-    blocks = queries.withColumn("block", by(n_blocks, 2)).groupBy("dim", "block").applyInPandas(_pack_queries, "dim int, block int, q_ids binary, q binary, q_kind string")
-    blocks = blocks.withColumn("shard", F.col("block") % F.lit(n_shards))
-    first = blocks.join(shards, ["dim", "shard"]).repartition(max(2, n_blocks), "block").mapInPandas(_home(k), "dim int, block int, home int, q_ids binary, q binary, q_kind string, floor binary, f_row binary, f_id binary, f_score binary")
-    first = written(first, "topk-home")
-    # a block whose home shard has no row of its dimension has no floor; it still meets all other shards
-    lost = blocks.join(first.select("dim", "block"), ["dim", "block"], "left_anti").select("dim", "block", F.lit(-1).alias("home"), "q_ids", "q", "q_kind")
-    nothing = F.udf(lambda ids: np.full(len(ids) // 8, NONE, np.int64).tobytes(), "binary")
-    lost = lost.withColumn("floor", nothing("q_ids"))
-    asked = first.select(*lost.columns).unionByName(lost)
-    rest = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).where("shard <> home")
-    tiles = rest.join(shards, ["dim", "shard"]).repartition(max(2, min(n_blocks * n_shards, 4 * spark.sparkContext.defaultParallelism + n_shards)), "block", "shard")
-    out = tiles.mapInPandas(_others(k), "query_id long, vec_id long, score long").unionByName(first.mapInPandas(_found, "query_id long, vec_id long, score long"))
+    vectors = written(vectors.select("vec_id", "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks")), "topk-vectors")
+    n = vectors.count()
+    shard_rows = max(shard_rows, -(-n // MOST_SHARDS))
+    cells = written(_with_cell(vectors, _centres(vectors, n, max(1, min(CELLS, n // shard_rows)))), "topk-cells")
+
+    def dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
+        plan = _dealt(spark, rows.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect(), size)
+        part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int")
+        return rows.join(F.broadcast(plan), (F.col("dim") == F.col("d_dim")) & (F.col("cell") == F.col("d_cell"))).select("dim", (F.col("first") + part).alias(name), "vec_id", "v")
+
+    shards = written(dealt(cells, shard_rows, "shard").groupBy("dim", "shard").applyInPandas(_pack_shard, "dim int, shard int, ids binary, v binary, v_kind string, centres binary, radii binary, nodes binary, ball binary"), "topk-shards")
+    blocks = written(dealt(cells.where("asks"), query_rows, "block").groupBy("dim", "block").applyInPandas(_pack_queries, ASK), "topk-blocks")
+    balls = {}
+    for dim, own in shards.select("dim", "shard", "ball").toPandas().sort_values("shard").groupby("dim"):
+        ball = np.stack([np.frombuffer(x) for x in own["ball"]])
+        balls[int(dim)] = own["shard"].to_numpy(np.int64), ball[:, :-1], ball[:, -1]
+    found = f"{ASK}, f_row binary, f_id binary, f_score binary"
+    near = written(_choose(blocks, balls, True), "topk-near")
+    first = written(near.join(shards, ["dim", "shard"]).groupBy("dim", "block").applyInPandas(_searched(k), found), "topk-first")
+    rest = written(_choose(first.select("dim", "block", "q_ids", "q", "q_kind", "floor"), balls, False), "topk-rest")
+    if met is not None:
+        met += [blocks.count(), shards.count(), near.count() + rest.count()]
+    last = rest.join(shards, ["dim", "shard"]).groupBy("dim", "block", "task").applyInPandas(_searched(k), found)
+    out = first.mapInPandas(_found, "query_id long, vec_id long, score long").unionByName(last.mapInPandas(_found, "query_id long, vec_id long, score long"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ one role share a block, and the pieces are concatenated. Control strings inside
 escaped so that the string can be read back exactly. The loss mask marks assistant texts.
 
 Defined cases: a null role or text is empty; a newline in a role is escaped; rows that tie on ``turn``
-are ordered by role, then text; repeated rows stay; an empty table gives an empty table; other columns
+are ordered by role, then text; texts of any length stay whole; repeated rows stay; an empty table gives an empty table; other columns
 are ignored. A row with a null conversation id belongs to the conversation null.
 A conversation is one output row, so its turns meet in one task by definition of the result.
 """

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.files import remove
+
 #: What separates words: space and the ASCII controls tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -44,18 +46,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table of :func:`written` that no later plan reads."""
+    """Delete a table of :func:`written` that no later plan reads; other tables are left alone."""
     path = getattr(df, "_quill_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        remove(path, df.sparkSession)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that nothing refers to any more; it waits for the driver's garbage collection."""
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more; it waits for the driver's garbage collection.
+
+    Without this the n-gram join keeps all its rounds' shuffle files. Where there is no gateway to the JVM, nothing is done.
+    """
     gc.collect()
-    spark._jvm.System.gc()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
 
 @contextmanager

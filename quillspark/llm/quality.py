@@ -5,7 +5,7 @@ trees, one feature after another, learns a table of log-odds for each feature, a
 whose interaction explains most of what is left. A score is the sum of looked-up bins.
 
 Defined cases: a null or empty text has features of its own (all zero); repeated rows get a row each; without labels to
-learn from every score is 1; an empty table gives an empty table; extra columns are ignored, or pass through :func:`keep_good`.
+learn from every score is 1; very long texts are read whole, in pieces; an empty table gives an empty table; extra columns are ignored, or pass through :func:`keep_good`.
 At most ``SAMPLE_ROWS`` labelled rows are learnt from.
 """
 

@@ -424,9 +424,40 @@ def test_top_k_odd_cases(spark):
     assert ball_tree.top_k(ball_tree.integer_vectors(df.limit(0)), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
+def test_top_k_leaves_shards_out(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 16))
+    e = np.concatenate([10 * b + 0.2 * rng.normal(size=(50, 16)) for b in base])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(e)], "vec_id long, embedding array<double>")
+    met = []
+    got = ball_tree.top_k(ball_tree.integer_vectors(df), F.col("vec_id") % 20 == 0, 20, shard_rows=50, query_rows=20, met=met)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == plain_top([(i, np.floor(64 * v).astype(int)) for i, v in enumerate(e)], 20)
+    assert met[2] < 0.35 * met[0] * met[1]
+
+
 # pipeline
 
 
+def rows_of_stages(spark, d, rows, items, labels):
+    import corpus_pipeline as cp
+
+    frame(spark, rows).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return cp.run(spark, d)
+
+
+def test_pipeline_of_empty_tables(spark, rng, tmp_path):
+    text = prose(rng, 30)
+    rows = [(1, text), (2, text), (3, prose(rng, 30)), (3, prose(rng, 30)), (None, None)]
+    got = rows_of_stages(spark, str(tmp_path / "a"), rows, [], [])  # nothing is learnt or looked for: only the copy goes
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in got.collect()) == [-1, 1, 3, 3]
+    got = rows_of_stages(spark, str(tmp_path / "b"), rows, [(1, text)], [])
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in got.collect()) == [-1, 3, 3]
+    got = rows_of_stages(spark, str(tmp_path / "c"), [], [(1, text)], [(1, 1, 0)])
+    assert got.count() == 0
+
+
 def test_pipeline_stages(spark, rng, odd_rows, tmp_path):
     import corpus_pipeline as cp
 
