@@ -103,11 +103,12 @@ class Model:
     weight: np.ndarray  # of each cell
     intercept: float
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = np.full(len(texts), self.intercept)
-        for lo in range(0, len(texts), TEXTS):
-            row, cell = cells(texts[lo : lo + TEXTS], self.wanted)
-            z[lo : lo + TEXTS] += np.bincount(row, self.weight[cell], len(texts[lo : lo + TEXTS]))
+    def scores(self, column: pa.Array) -> np.ndarray:
+        z = np.full(len(column), self.intercept)
+        for lo in range(0, len(column), TEXTS):
+            texts = column.slice(lo, TEXTS).to_pylist()
+            row, cell = cells(texts, self.wanted)
+            z[lo : lo + TEXTS] += np.bincount(row, self.weight[cell], len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -186,9 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
         held = np.zeros((2, size), np.int32)
         for batch in batches:
             y = batch.column("y").to_numpy()
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), TEXTS):
-                row, cell = cells(texts[lo : lo + TEXTS])
+            for lo in range(0, batch.num_rows, TEXTS):
+                row, cell = cells(batch.column("text").slice(lo, TEXTS).to_pylist())
                 held += np.bincount(y[lo + row] * size + cell, minlength=2 * size).reshape(2, size).astype(np.int32)
         some = np.flatnonzero(held.sum(0))
         for lo in range(0, len(some), 1 << 16):
@@ -218,10 +218,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, place = sent.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             lists = []
-            for lo in range(0, len(texts), TEXTS):
-                part = texts[lo : lo + TEXTS]
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.column("text").slice(lo, TEXTS).to_pylist()
                 row, cell = cells(part, wanted)
                 lists += np.split(place[cell], np.searchsorted(row, np.arange(1, len(part))))
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), pa.array([x.tobytes() for x in lists], pa.binary())], names=["y", "h", "features"])
@@ -252,7 +251,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = sent.value.scores(batch.column("text").to_pylist()) if sent.value else np.zeros(batch.num_rows)
+            s = sent.value.scores(batch.column("text")) if sent.value else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -264,7 +263,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = sent.value.scores(batch.column("text").to_pylist()) if sent.value else np.zeros(batch.num_rows)
+            s = sent.value.scores(batch.column("text")) if sent.value else np.zeros(batch.num_rows)
             yield batch.filter(pa.array(s < threshold))
 
     return docs.mapInArrow(run, docs.schema)
