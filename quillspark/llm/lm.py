@@ -29,8 +29,8 @@ from .common import most_frequent, small_batches, spans, utf8, written
 from .words import word_hashes
 
 #: Network: words, classes, state. Known: words whose counts go to all executors; the rest are joined.
-VOCABULARY, CLASSES, STATE, KNOWN, LOOK_BITS = 8192, 40, 16, 1 << 18, 20
-SLOTS, WINDOW, TRAIN_SLOTS, TRAIN_WINDOW, RATE, FLUSH, BATCH_ROWS = 256, 64, 128, 32, 0.2, 2_000_000, 3000
+VOCABULARY, CLASSES, STATE, KNOWN, LOOK_BITS = 8192, 64, 16, 1 << 18, 20
+SLOTS, WINDOW, TRAIN_SLOTS, TRAIN_WINDOW, RATE, FLUSH, BATCH_ROWS = 256, 64, 64, 32, 0.08, 2_000_000, 3000
 #: Documents of the first sample, which gives all tasks one start.
 FIRST_DOCUMENTS, CHUNK = 600, 8192
 END = np.uint64(0x9D5F3C1B7A2E4680)
@@ -139,7 +139,8 @@ def _gates(a: np.ndarray, given: np.ndarray, size: int, out: np.ndarray | None =
 def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
     """exp(x - m), its sums over rows, and m: the largest of all, or of each row where that would lose a row's digits."""
     m = x.max(initial=-np.inf)
-    e = np.exp(x - m)
+    e = x - m
+    np.exp(e, out=e)
     sums = e @ np.ones(x.shape[1], x.dtype)
     if len(x) and sums.min() < 1e-20:
         m = x.max(1, keepdims=True)
@@ -154,9 +155,10 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return m + np.log(sums)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """Of each row, times ``scale``."""
     e, sums, _ = _exponentials(x)
-    e /= sums[:, None]
+    e *= (scale / sums)[:, None]
     return e
 
 
@@ -253,6 +255,12 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
         net.squares.setdefault(n, np.full(getattr(net, n).shape if n not in ("words_in",) else (len(net.words_in), 1), 0.1, np.float32))
     streams = Streams(ids, offsets, slots)
     h = np.zeros((len(streams.loads), size), np.float32)
+    classes = len(words.bounds) - 1
+    bounds, at = words.bounds.tolist(), np.arange(len(streams.loads) * TRAIN_WINDOW)
+    small = np.min_scalar_type(max(words.tail, classes))  # short keys are sorted by their digits
+    ones = np.ones(max(len(streams.loads) * TRAIN_WINDOW, words.tail), np.float32)
+    # the words' layer and, as its last column, its bias: one product gives both
+    layer = np.empty((len(net.word_out), size + 1), np.float32)
     for target, docs, begins, _ in streams.windows(TRAIN_WINDOW):
         n, live = target.shape
         h = h[:live]
@@ -274,29 +282,39 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
             h += y
         some = np.flatnonzero(real.ravel())
         kind = np.minimum(np.searchsorted(words.bounds, target.ravel()[some], "right") - 1, len(words.bounds) - 1)
-        order = np.argsort(kind, kind="stable")  # a class's rows stand together
+        order = np.argsort(kind.astype(small), kind="stable")  # a class's rows stand together
         some, kind = some[order], kind[order]
         x, y = before.reshape(-1, size)[some], target.ravel()[some]
         scale = np.float32(1 / len(some))
         # output layer
-        logit = x @ net.class_out.T + net.class_bias
-        d = _softmax(logit)
-        d[np.arange(len(y)), kind] -= 1
-        d *= scale
+        logit = x @ net.class_out.T
+        logit += net.class_bias
+        d = _softmax(logit, scale)
+        d[at[: len(y)], kind] -= scale
         dx = d @ net.class_out
         _step(net, "class_out", slice(None), d.T @ x, rate)
-        _step(net, "class_bias", slice(None), d.sum(0), rate)
-        cut = np.searchsorted(kind, np.arange(len(words.bounds)))
-        for c in np.flatnonzero(cut[1:] > cut[:-1]):
-            rows, lo, hi = slice(cut[c], cut[c + 1]), words.bounds[c], words.bounds[c + 1]
-            xr = x[rows]
-            logit = xr @ net.word_out[lo:hi].T + net.word_bias[lo:hi]
-            d = _softmax(logit)
-            d[np.arange(len(d)), y[rows] - lo] -= 1
-            d *= scale
-            dx[rows] += d @ net.word_out[lo:hi]
-            _step(net, "word_out", slice(lo, hi), d.T @ xr, rate)
-            _step(net, "word_bias", slice(lo, hi), d.sum(0), rate)
+        _step(net, "class_bias", slice(None), ones[: len(d)] @ d, rate)
+        # the words' layer: classes share no words, so all of them take one step together
+        cut = np.searchsorted(kind, np.arange(classes + 1))
+        place = y - words.bounds[kind]
+        wide, grad = np.column_stack([x, ones[: len(x)]]), np.zeros_like(layer)
+        layer[:, :size], layer[:, size] = net.word_out, net.word_bias
+        small_logits = np.abs(layer).sum(1).max(initial=0) < 60  # states lie within -1 and 1, so no exponential overflows
+        cuts = cut.tolist()
+        for c in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            first, last, lo, hi = cuts[c], cuts[c + 1], bounds[c], bounds[c + 1]
+            xr, out = wide[first:last], layer[lo:hi]
+            d = xr @ out.T
+            if small_logits:
+                np.exp(d, out=d)
+                d *= (scale / (d @ ones[: hi - lo]))[:, None]
+            else:
+                d = _softmax(d, scale)
+            d[at[: last - first], place[first:last]] -= scale
+            dx[first:last] += (d @ out)[:, :size]
+            np.matmul(d.T, xr, out=grad[lo:hi])
+        _step(net, "word_out", slice(None), grad[:, :size].copy(), rate)
+        _step(net, "word_bias", slice(None), grad[:, size].copy(), rate)
         # back through the window
         d_out = np.zeros((n * live, size), np.float32)
         d_out[some] = dx
@@ -318,16 +336,23 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
         grad = before.reshape(-1, size).T @ d_rec.reshape(-1, 3 * size)
         norm = float(np.sqrt((grad**2).sum()))
         _step(net, "gates", slice(None), grad * min(1.0, 1.0 / max(norm, 1e-9)), rate)
-        order = np.argsort(y, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], y[order][1:] != y[order][:-1]]))
-        _step(net, "words_in", y[order][first], np.add.reduceat(d_given.reshape(-1, 3 * size)[some][order], first), rate)
+        order = np.argsort(y.astype(small), kind="stable")
+        y = y[order]
+        first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+        _step(net, "words_in", y[first], np.add.reduceat(d_given.reshape(-1, 3 * size)[some[order]], first), rate)
 
 
 def _step(net: Net, name: str, where, grad: np.ndarray, rate: float) -> None:
+    """An AdaGrad step, which uses up ``grad``; there is a square for each number, or one for each row."""
     sq, a = net.squares[name], getattr(net, name)
-    scaled = grad * 100  # so that the first squares of 0.1 don't swamp what a batch's mean gives
-    sq[where] += (scaled**2).mean(1, keepdims=True) if name == "words_in" else scaled**2
-    a[where] -= rate * scaled / np.sqrt(sq[where])
+    grad *= 100  # so that the first squares of 0.1 don't swamp what a batch's mean gives
+    new = sq[where]  # a copy where rows are listed
+    new += grad * grad if sq.shape == a.shape else np.einsum("ij,ij->i", grad, grad)[:, None] / grad.shape[1]
+    if not isinstance(where, slice):
+        sq[where] = new
+    grad /= np.sqrt(new)
+    grad *= rate
+    a[where] -= grad
 
 
 def _token_ids(text, words: Words):
