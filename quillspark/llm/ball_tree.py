@@ -3,8 +3,9 @@
 Rows are dealt into cells around coarse centres (learnt from a bounded sample; they only shape the shards) and cells into shards
 of bounded size, each packed into one row that holds its ball tree. A small table has every shard's ball. Queries of a cell form
 blocks. A block first searches the few shards with the highest upper bounds (q.c + |q| r), best first, each under the k-th score of
-those before; then all shards whose ball can still hold a row above some query's k-th score, in groups that pass on the k-th score.
-Inside a shard, nodes are visited in the order of their upper bounds, and cut where these lie below the k-th score.
+those before; then all shards whose ball can still hold a row above some query's k-th score: there blocks travel to the shards, as
+they are far smaller. Tables of pairs name blocks and shards and hold no vectors, and what holds vectors is never broadcast: its files
+are so well packed that their size says nothing of the memory they need. Inside a shard, nodes are visited in the order of their upper bounds, and cut where these lie below the k-th score.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; ties go to the smaller id;
 rows that repeat an id are candidates of their own (and none of them is a candidate of a query with that id);
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 2048, 256
-#: Cells and the rows from which their centres are learnt; shards (a shard grows beyond that many); shards searched first, and shards a task searches then.
-CELLS, SAMPLE, MOST_SHARDS, FIRST, GROUP = 1024, 16_384, 65_536, 4, 8
+#: Cells and the rows from which their centres are learnt; shards (a shard grows beyond that many); shards searched first, and blocks that meet a shard in one task then.
+CELLS, SAMPLE, MOST_SHARDS, FIRST, GROUP = 1024, 16_384, 65_536, 4, 16
 NONE = -(2**63)
 
 
@@ -192,10 +193,11 @@ def _bounds(r, centres: np.ndarray, radii: np.ndarray) -> Iterator[tuple[int, np
 
 
 ASK = "dim int, block int, q_ids binary, q binary, q_kind string, floor binary"
+PAIR = "dim int, block int, shard int, place int, task int"
 
 
 def _choose(blocks: DataFrame, balls, first: bool) -> DataFrame:
-    """``ASK`` and ``shard, place, task``: the shards that each block searches first, or those that it must still search."""
+    """``PAIR``: the shards that each block searches first, or those that it must still search."""
     sent = blocks.sparkSession.sparkContext.broadcast(balls)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,26 +211,32 @@ def _choose(blocks: DataFrame, balls, first: bool) -> DataFrame:
                     open_[lo : lo + u.shape[1]] = (u >= floor[:, None]).any(0)
                 order = np.argsort(-best, kind="stable")
                 order = order[:FIRST] if first else order[FIRST:][open_[order[FIRST:]]]
-                for lo in range(0, len(order), GROUP):
-                    part = order[lo : lo + GROUP]
-                    yield pd.DataFrame({c: [getattr(r, c)] * len(part) for c in ("dim", "block", "q_ids", "q", "q_kind", "floor")} | {"shard": shards[part], "place": np.arange(lo, lo + len(part)), "task": lo // GROUP})
+                yield pd.DataFrame({"dim": int(r.dim), "block": int(r.block), "shard": shards[order], "place": np.arange(len(order)), "task": int(r.block) // GROUP})
 
-    return blocks.mapInPandas(run, f"{ASK}, shard int, place int, task int")
+    return blocks.mapInPandas(run, PAIR)
+
+
+def _asked(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(r.q, r.q_kind).reshape(-1, int(r.dim)), np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.floor, np.int64)
+
+
+def _held(r) -> tuple:
+    """A shard's ids, vectors and tree."""
+    dim = int(r.dim)
+    tree = np.frombuffer(r.centres).reshape(-1, dim), np.frombuffer(r.radii), np.frombuffer(r.nodes, np.int64).reshape(-1, 4)
+    return np.frombuffer(r.ids, np.int64), np.frombuffer(r.v, r.v_kind).reshape(-1, dim), tree
 
 
 def _searched(k: int):
     """A block's shards one after another, each under the k-th scores of those before."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        top = pdf.iloc[0]
-        dim = int(top.dim)
-        q, q_ids, floor = np.frombuffer(top.q, top.q_kind).reshape(-1, dim), np.frombuffer(top.q_ids, np.int64), np.frombuffer(top.floor, np.int64).copy()
+    def run(asks: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, top = pdf.sort_values("place"), asks.iloc[0]
+        q, q_ids, floor = _asked(top)
+        floor = floor.copy()
         rows, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
         for r in pdf.itertuples(index=False):
-            v = np.frombuffer(r.v, r.v_kind).reshape(-1, dim)
-            tree = np.frombuffer(r.centres).reshape(-1, dim), np.frombuffer(r.radii), np.frombuffer(r.nodes, np.int64).reshape(-1, 4)
-            a, b, c = search(q, q_ids, floor, np.frombuffer(r.ids, np.int64), v, tree, k)
+            a, b, c = search(q, q_ids, floor, *_held(r), k)
             rows, ids, scores = np.concatenate([rows, a]), np.concatenate([ids, b]), np.concatenate([scores, c])
             order = np.lexsort((ids, -scores, rows))
             rows, ids, scores = rows[order], ids[order], scores[order]
@@ -239,7 +247,21 @@ def _searched(k: int):
             end = np.cumsum(many)
             full = many == k
             floor[full] = np.maximum(floor[full], scores[end[full] - 1])
-        return pd.DataFrame({"dim": [dim], "block": [top.block], "q_ids": [top.q_ids], "q": [top.q], "q_kind": [top.q_kind], "floor": [floor.tobytes()], "f_row": [rows.tobytes()], "f_id": [ids.tobytes()], "f_score": [scores.tobytes()]})
+        return pd.DataFrame({"dim": [top.dim], "block": [top.block], "q_ids": [top.q_ids], "q": [top.q], "q_kind": [top.q_kind], "floor": [floor.tobytes()], "f_row": [rows.tobytes()], "f_id": [ids.tobytes()], "f_score": [scores.tobytes()]})
+
+    return run
+
+
+def _met(k: int):
+    """What some blocks find in one shard, each under the k-th scores of its first shards."""
+
+    def run(asks: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        held, out = _held(pdf.iloc[0]), []
+        for r in asks.itertuples(index=False):
+            q, q_ids, floor = _asked(r)
+            row, ids, score = search(q, q_ids, floor, *held, k)
+            out.append(pd.DataFrame({"query_id": q_ids[row], "vec_id": ids, "score": score}))
+        return pd.concat(out)
 
     return run
 
@@ -292,12 +314,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_
         ball = np.stack([np.frombuffer(x) for x in own["ball"]])
         balls[int(dim)] = own["shard"].to_numpy(np.int64), ball[:, :-1], ball[:, -1]
     found = f"{ASK}, f_row binary, f_id binary, f_score binary"
+    hits = "query_id long, vec_id long, score long"
     near = written(_choose(blocks, balls, True), "topk-near")
-    first = written(near.join(shards, ["dim", "shard"]).groupBy("dim", "block").applyInPandas(_searched(k), found), "topk-first")
-    rest = written(_choose(first.select("dim", "block", "q_ids", "q", "q_kind", "floor"), balls, False), "topk-rest")
+    nearest = near.hint("merge").join(shards, ["dim", "shard"])
+    first = written(blocks.groupBy("dim", "block").cogroup(nearest.groupBy("dim", "block")).applyInPandas(_searched(k), found), "topk-first")
+    asks = first.select("dim", "block", "q_ids", "q", "q_kind", "floor")
+    rest = written(_choose(asks, balls, False), "topk-rest")
     if met is not None:
         met += [blocks.count(), shards.count(), near.count() + rest.count()]
-    last = rest.join(shards, ["dim", "shard"]).groupBy("dim", "block", "task").applyInPandas(_searched(k), found)
-    out = first.mapInPandas(_found, "query_id long, vec_id long, score long").unionByName(last.mapInPandas(_found, "query_id long, vec_id long, score long"))
+    key = ["dim", "shard", "task"]
+    theirs = [f"t_{c}" for c in key]
+    tasks = rest.select(*(F.col(c).alias(t) for c, t in zip(key, theirs, strict=True))).distinct()
+    asking = rest.hint("merge").join(asks, ["dim", "block"])
+    asked = tasks.hint("merge").join(shards, (F.col("t_dim") == F.col("dim")) & (F.col("t_shard") == F.col("shard")))
+    last = asking.groupBy(key).cogroup(asked.groupBy(theirs)).applyInPandas(_met(k), hits)
+    out = first.mapInPandas(_found, hits).unionByName(last)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -435,6 +435,18 @@ def test_top_k_leaves_shards_out(spark):
     assert met[2] < 0.35 * met[0] * met[1]
 
 
+def test_top_k_broadcasts_no_vectors(spark, monkeypatch):
+    tables, write = {}, ball_tree.written
+    monkeypatch.setattr(ball_tree, "written", lambda df, label: tables.setdefault(label, write(df, label)))
+    rng = np.random.default_rng(8)
+    vectors = [(i, [int(x) for x in rng.integers(-40, 40, 4)]) for i in range(400)]
+    got = ball_tree.top_k(spark.createDataFrame(vectors, "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0, 20, shard_rows=20, query_rows=5)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    for name in ("topk-near", "topk-rest"):  # a pair of block and shard costs some bytes, whatever the block holds
+        assert "binary" not in dict(tables[name].dtypes).values() and tables[name].count()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == plain_top(vectors, 20)
+
+
 # pipeline
 
 
