@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ball_tree, chat_format, decontaminate, lm, ngram_join, packing, quality, resharding, token_counts, toxicity
-from .common import doc_remainder, table, written
+from .common import doc_remainder, shared_dir, table, written
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +60,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = resharding.sized(table(spark, sf_dir, "documents")).withColumn("old_shard", doc_remainder(F.col("doc_id"), OLD_SHARDS).cast("int"))
-    placed = resharding.reshard(written(rows, "op10-sizes"), SHARDS)
+    out_dir = f"{shared_dir(spark)}/op10-shards-{uuid.uuid4().hex}"
+    placed = resharding.rewritten(table(spark, sf_dir, "documents"), doc_remainder(F.col("doc_id"), OLD_SHARDS), SHARDS, out_dir)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 

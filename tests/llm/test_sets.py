@@ -1,15 +1,18 @@
 """N-gram join, components, decontamination, chat formatting, resharding and packing against plain versions."""
 
+import glob
 import hashlib
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat_format, components, decontaminate, ngram_join, packing, resharding, words
-from quillspark.llm.common import utf8
+from quillspark.llm.common import shared_dir, utf8
+from quillspark.llm.queries import QUERIES
 
 from .conftest import frame, prose
 
@@ -283,6 +286,35 @@ def test_reshard_odd_rows(spark, odd_rows):
     assert resharding.reshard(sized.limit(0), 3).count() == 0
 
 
+def test_reshard_writes_files_and_reads_them_back(spark, odd_rows, rng, tmp_path):
+    rows = odd_rows + [(8, "another text of the same id"), (None, "a second row without id")] + [(i, prose(rng, 9)) for i in range(100, 300)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(glob.glob(f"{shared_dir(spark)}/op10-shards-*".removeprefix("file:")))
+    got = QUERIES["op10_resharding"](spark, str(tmp_path)).collect()
+    (out,) = set(glob.glob(f"{shared_dir(spark)}/op10-shards-*".removeprefix("file:"))) - before
+    key = lambda i, t: (str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted(key(i, t) for i, t in rows)
+    files, affected = spark.read.parquet(out).collect(), {k for r in got if r["moved"] for k in (r["old_shard"], r["shard"])}
+    assert len(affected) > 4 and {r["shard"] for r in files} <= affected
+    in_files, told = ({(r["shard"], r["slot"], *x) for r, x in pairs} for pairs in (
+        [(r, key(r["doc_id"], r["text"])) for r in files], [(r, (str(r["doc_id"]), r["size"], r["text_crc32"])) for r in got if r["shard"] in affected]))
+    assert in_files == told and len(files) == len(told)
+    assert not Counter((str(r["doc_id"]), r["text"], r["lang"]) for r in files) - Counter((str(i), t, "en") for i, t in rows)
+    for k in range(8):
+        mine = [r["slot"] for r in got if r["shard"] == k]
+        assert sorted(mine) == list(range(len(mine)))
+
+
+def test_reshard_leaves_files_of_other_shards(spark, tmp_path):
+    rows = [(3 * i + k, "x") for k, n in enumerate((10, 14, 6)) for i in range(n)]
+    got = resharding.rewritten(frame(spark, rows), F.col("doc_id") % 3, 3, f"{tmp_path}/new").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows) and Counter(r["shard"] for r in got) == {0: 10, 1: 10, 2: 10}
+    assert {r["shard"] for r in spark.read.parquet(f"{tmp_path}/new").collect()} == {1, 2} and sum(r["moved"] for r in got) == 4
+    same = resharding.rewritten(frame(spark, rows[:10]), F.lit(0), 1, f"{tmp_path}/none")
+    assert same.count() == 10 and not (tmp_path / "none").exists()
+    assert resharding.rewritten(frame(spark, []), F.lit(0), 3, f"{tmp_path}/empty").count() == 0
+
+
 # packing
 
 
