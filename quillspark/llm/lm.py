@@ -155,6 +155,12 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return m + np.log(sums)
 
 
+def _small_log_sum(x: np.ndarray) -> np.ndarray:
+    """Of numbers whose exponentials neither overflow nor vanish."""
+    e = np.exp(x)
+    return np.log(e @ np.ones(x.shape[1], x.dtype))
+
+
 def _softmax(x: np.ndarray, scale: float = 1.0) -> np.ndarray:
     """Of each row, times ``scale``."""
     e, sums, _ = _exponentials(x)
@@ -200,22 +206,17 @@ class Streams:
             yield ids, docs, begins, (docs >= 0).sum(1)
 
 
-def _by_class(words: Words, target: np.ndarray):
-    """(class, rows) for the targets in the vocabulary."""
-    c = np.searchsorted(words.bounds, target, "right") - 1
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(len(words.bounds)))
-    for k in range(len(words.bounds) - 1):
-        if cut[k + 1] > cut[k]:
-            yield k, order[cut[k] : cut[k + 1]]
-
-
 def log_likelihoods(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """log10 probability of each row of ids under the network; the tail id counts as one outcome."""
     out = np.zeros(len(offsets) - 1)
     streams = Streams(ids, offsets, slots)
     size = net.gates.shape[0]
     h, gates = np.zeros((len(streams.loads), size), np.float32), _halved(net.gates, size)
+    bounds, at = words.bounds.tolist(), np.arange(len(streams.loads) * WINDOW)
+    classes = np.arange(len(bounds)).astype(np.min_scalar_type(len(bounds)))  # short keys are sorted by their digits
+    class_of = np.append(np.repeat(classes[:-1], np.diff(words.bounds)), classes[-1])
+    largest = max((np.abs(w).sum(1) + np.abs(b)).max(initial=0) for w, b in ((net.class_out, net.class_bias), (net.word_out, net.word_bias)))
+    log_sum = _small_log_sum if largest < 60 else _log_sum  # states lie within -1 and 1
     for target, docs, begins, active in streams.windows(WINDOW):
         n, live = target.shape
         before = np.zeros((n, live, size), np.float32)
@@ -236,14 +237,20 @@ def log_likelihoods(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray
             x *= g[:, :size]
             x += new
         some = docs.ravel() >= 0
-        x, y, d = before.reshape(-1, size)[some], target.ravel()[some], docs.ravel()[some]
-        logit = x @ net.class_out.T + net.class_bias
-        kind = np.minimum(np.searchsorted(words.bounds, y, "right") - 1, len(words.bounds) - 1)
-        p = (logit[np.arange(len(y)), kind] - _log_sum(logit)).astype(np.float64)
-        for c, rows in _by_class(words, y):
-            lo, hi = words.bounds[c], words.bounds[c + 1]
-            logit = x[rows] @ net.word_out[lo:hi].T + net.word_bias[lo:hi]
-            p[rows] += logit[np.arange(len(rows)), y[rows] - lo] - _log_sum(logit)
+        y = target.ravel()[some]
+        kind = class_of[y]
+        order = np.argsort(kind, kind="stable")  # a class's rows stand together
+        x, y, kind, d = before.reshape(-1, size)[some][order], y[order], kind[order], docs.ravel()[some][order]
+        logit = x @ net.class_out.T
+        logit += net.class_bias
+        p = (logit[at[: len(y)], kind] - log_sum(logit)).astype(np.float64)
+        place, cuts = y - words.bounds[kind], np.searchsorted(kind, classes).tolist()
+        for c in range(len(bounds) - 1):
+            first, last, lo, hi = cuts[c], cuts[c + 1], bounds[c], bounds[c + 1]
+            if last > first:
+                logit = x[first:last] @ net.word_out[lo:hi].T
+                logit += net.word_bias[lo:hi]
+                p[first:last] += logit[at[: last - first], place[first:last]] - log_sum(logit)
         out += np.bincount(d, p, len(out))
     return out / np.log(10)
 
@@ -260,7 +267,8 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
     small = np.min_scalar_type(max(words.tail, classes))  # short keys are sorted by their digits
     ones = np.ones(max(len(streams.loads) * TRAIN_WINDOW, words.tail), np.float32)
     # the words' layer and, as its last column, its bias: one product gives both
-    layer = np.empty((len(net.word_out), size + 1), np.float32)
+    layer = np.column_stack([net.word_out, net.word_bias])
+    square, grad_out, room = np.column_stack([net.squares["word_out"], net.squares["word_bias"]]), np.empty_like(layer), 0.0
     for target, docs, begins, _ in streams.windows(TRAIN_WINDOW):
         n, live = target.shape
         h = h[:live]
@@ -297,9 +305,12 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
         # the words' layer: classes share no words, so all of them take one step together
         cut = np.searchsorted(kind, np.arange(classes + 1))
         place = y - words.bounds[kind]
-        wide, grad = np.column_stack([x, ones[: len(x)]]), np.zeros_like(layer)
-        layer[:, :size], layer[:, size] = net.word_out, net.word_bias
-        small_logits = np.abs(layer).sum(1).max(initial=0) < 60  # states lie within -1 and 1, so no exponential overflows
+        wide = np.column_stack([x, ones[: len(x)]])
+        grad_out.fill(0)
+        if room < 1:  # a step moves a number by no more than the rate, so this holds for some windows
+            room = (60 - float(np.abs(layer).sum(1).max(initial=0))) / ((size + 1) * rate)
+        small_logits = room > 0  # states lie within -1 and 1, so no exponential overflows
+        room -= 1
         cuts = cut.tolist()
         for c in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
             first, last, lo, hi = cuts[c], cuts[c + 1], bounds[c], bounds[c + 1]
@@ -312,9 +323,8 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
                 d = _softmax(d, scale)
             d[at[: last - first], place[first:last]] -= scale
             dx[first:last] += (d @ out)[:, :size]
-            np.matmul(d.T, xr, out=grad[lo:hi])
-        _step(net, "word_out", slice(None), grad[:, :size].copy(), rate)
-        _step(net, "word_bias", slice(None), grad[:, size].copy(), rate)
+            np.matmul(d.T, xr, out=grad_out[lo:hi])
+        _adagrad(layer, square, grad_out, rate)
         # back through the window
         d_out = np.zeros((n * live, size), np.float32)
         d_out[some] = dx
@@ -340,6 +350,17 @@ def train(net: Net, words: Words, ids: np.ndarray, offsets: np.ndarray, rate: fl
         y = y[order]
         first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
         _step(net, "words_in", y[first], np.add.reduceat(d_given.reshape(-1, 3 * size)[some[order]], first), rate)
+    net.word_out[:], net.word_bias[:] = layer[:, :size], layer[:, size]
+    net.squares["word_out"], net.squares["word_bias"] = square[:, :size].copy(), square[:, size].copy()
+
+
+def _adagrad(a: np.ndarray, square: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    """A step of all numbers of ``a``, which uses up ``grad``."""
+    grad *= 100  # as in _step
+    square += grad * grad
+    grad /= np.sqrt(square)
+    grad *= rate
+    a -= grad
 
 
 def _step(net: Net, name: str, where, grad: np.ndarray, rate: float) -> None:
